@@ -199,11 +199,15 @@ def _table_of_sets(batches):
 
 
 def _sets_by_node(batches):
+    """(text, node wanted of it, repeated) to (node, its set, repeated)."""
     for batch in batches:
-        for _, _, data, offsets in vt.chunks(batch.column(0)):
+        wanted = batch.column(1).to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in vt.chunks(batch.column(0)):
             sets, at = shingle_sets(data, offsets)
+            node = vt.signed(nodes_of(sets, at))
             raw, where = sets.tobytes(), at * 8
-            yield pa.RecordBatch.from_arrays([pa.array(vt.signed(nodes_of(sets, at))), pa.array([raw[a:b] for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["node", "sh"])
+            own = np.flatnonzero(node == wanted[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([raw[where[i] : where[i + 1]] for i in own], pa.binary()), batch.column(2).slice(lo, hi - lo).take(pa.array(own))], ["node", "sh", "repeated"])
 
 
 def _packed_keys(parts: int):
@@ -375,13 +379,24 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"))
     by_empty = table.where("short").select("node").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).union(by_empty).distinct()
-    # One document of each wanted node: its smallest id, or any where ids are null.
-    one = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = source.join(one.where("doc_id is not null"), "doc_id", "left_semi").select("text").union(source.where("doc_id is null").select("text"))
-    sets = materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary").dropDuplicates(["node"]), "fetched")
-
-    links = materialize(verified(pairs, sets), "links")
+    # One document of each wanted node: that of its smallest id, known by id and node. Rows that
+    # agree in both are told apart by nothing, and only their sets are made distinct.
+    ids = table.join(wanted, "node", "left_semi").groupBy("node", "doc_id").agg((F.count("*") > 1).alias("repeated"))
+    one = ids.groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("one"), "repeated"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("node", "x.*")
+    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("text", "node", "repeated")
+    fetched = texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean")
+    sets = materialize(fetched, "fetched")
+    sets = sets.where("not repeated").select("node", "sh").union(sets.where("repeated").select("node", "sh").dropDuplicates(["node"]))
+
+    # First each node with its smallest partner; then only pairs that are still apart.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(verified(first, sets), "links")
     comps = components(links)
+    apart = _label(_label(pairs.join(first, ["a", "b"], "left_anti").withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b")), comps, "rb")
+    second = materialize(verified(apart.where("ra <> rb").select("a", "b"), sets), "links")
+    if not second.isEmpty():
+        links = links.union(second)
+        comps = components(links)
     more, given_up = _open_pairs(members, comps)
     lost = given_up.groupBy("node").agg(F.count("*").alias("lost"))
     short = by_empty.withColumn("lost", F.lit(0).cast("long")).union(lost).groupBy("node").agg(F.max("lost").alias("lost"))
