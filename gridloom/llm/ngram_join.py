@@ -16,7 +16,8 @@ How the work is laid out:
 2. Keys travel packed as arrays, dealt over partitions of bounded size, and are matched
    there by sorting. Keys with few nodes give all their pairs. Keys with many nodes give a
    star around their smallest node, and their membership is kept.
-3. Sets of the nodes in any pair are fetched once; pairs are verified on the whole sets.
+3. Bitmaps of the sets rule out most pairs, exactly. Sets of the nodes that may still matter
+   are fetched once; pairs are verified on the whole sets.
 4. Components of the verified links join nodes. In keys with many nodes only pairs across
    components are still open: they are verified too when there are not too many. Keys of
    widespread passages, with many unrelated nodes, are given up instead, and their
@@ -56,6 +57,8 @@ STAR = 8
 OPEN_PAIRS = 32
 #: Keys of a partition, and keys held by a task before it sends them.
 PART_KEYS, FLUSH_KEYS = 2_000_000, 2_000_000
+#: Bytes of a shingle in the sets that are fetched for verification.
+PACKED = 6
 U = np.uint64
 
 
@@ -89,6 +92,39 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
+def pack(sets: np.ndarray) -> bytes:
+    """The leading 48 bits of each shingle; those of two texts of 500 words differ from the whole by chance once in 10 ** 9 pairs."""
+    return np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - PACKED :]).tobytes()
+
+
+def unpack(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // PACKED, 8), np.uint8)
+    out[:, 8 - PACKED :] = np.frombuffer(raw, np.uint8).reshape(-1, PACKED)
+    return out.reshape(-1).view("<u8")
+
+
+def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap of each row's set with one bit for each shingle, in a power of two of bits, two a shingle at least."""
+    out = []
+    place = vt.mix(sets ^ U(0x2545F4914F6CDD1D))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = np.zeros(1 << max(6, (2 * (b - a) - 1).bit_length()), np.uint8)
+        bits[(place[a:b] & U(len(bits) - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def may_link(a: bytes, b: bytes, sizes: tuple[int, int]) -> bool:
+    """False only if the sets can't be linked: every place where the bitmaps differ is a shingle that one of them lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= differences(*sizes)
+
+
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, U), np.cumsum(values)])
     return total[at[1:]] - total[at[:-1]]
@@ -186,7 +222,7 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarra
 
 
 def _table_of_sets(batches):
-    """doc_id, node, n_shingles, and whether its empty segments leave a node's allowance short."""
+    """doc_id, node, n_shingles, whether its empty segments leave a node's allowance short, and its bitmap."""
     for batch in batches:
         text = batch.column(1)
         for lo, hi, data, offsets in vt.chunks(text):
@@ -195,7 +231,7 @@ def _table_of_sets(batches):
             short = np.zeros(len(sizes), bool)
             for role in (0, 1):
                 short |= segment_keys(sets, at, role)[2] < 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), pa.array(short & (sizes > 3))], ["doc_id", "node", "n_shingles", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), pa.array(short & (sizes > 3)), pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "node", "n_shingles", "short", "bits"])
 
 
 def _sets_by_node(batches):
@@ -205,7 +241,7 @@ def _sets_by_node(batches):
         for lo, hi, data, offsets in vt.chunks(batch.column(0)):
             sets, at = shingle_sets(data, offsets)
             node = vt.signed(nodes_of(sets, at))
-            raw, where = sets.tobytes(), at * 8
+            raw, where = pack(sets), at * PACKED
             own = np.flatnonzero(node == wanted[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([raw[where[i] : where[i + 1]] for i in own], pa.binary()), batch.column(2).slice(lo, hi - lo).take(pa.array(own))], ["node", "sh", "repeated"])
 
@@ -302,7 +338,7 @@ def _linked(batches):
         a, b, left, right = (batch.column(i) for i in range(4))
         keep = np.zeros(batch.num_rows, bool)
         for i in range(batch.num_rows):
-            x, y = np.frombuffer(left[i].as_buffer(), U), np.frombuffer(right[i].as_buffer(), U)
+            x, y = unpack(left[i].as_buffer()), unpack(right[i].as_buffer())
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both = int(np.count_nonzero(y[at] == x)) if len(y) else 0
@@ -311,11 +347,28 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
 
+def _plausible(batches):
+    for batch in batches:
+        a, b, x, y, nx, ny = (batch.column(i) for i in range(6))
+        keep = pa.array([may_link(p, q, (i, j)) for p, q, i, j in zip(x.to_pylist(), y.to_pylist(), nx.to_pylist(), ny.to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+
+def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule a link out. Most candidates end here, at a tenth of a set's bytes."""
+    left = bits.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
+    right = bits.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny")
+    return both.mapInArrow(_plausible, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("sh").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("sh").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
+    """The pairs (a, b) of nodes whose whole sets reach the threshold; only sets of these nodes travel to the pairs."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = materialize(sets.join(needed, "node", "left_semi"), "needed")
+    left = own.select(F.col("node").alias("a"), F.col("sh").alias("left"))
+    right = own.select(F.col("node").alias("b"), F.col("sh").alias("right"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
 
 
 def _label(nodes: DataFrame, comps: DataFrame, name: str = "root") -> DataFrame:
@@ -340,7 +393,7 @@ def _allowances(batches):
     """Rows (node, lost) to (node, shingle) of nodes whose allowance, less what is lost, is short."""
     for batch in batches:
         for i in range(batch.num_rows):
-            s = np.frombuffer(batch.column(1)[i].as_buffer(), U)
+            s = unpack(batch.column(1)[i].as_buffer())
             at = np.array([0, len(s)])
             lost = batch.column(2)[i].as_py()
             if any(segment_keys(s, at, role)[2][0] < lost * (1 + scheme(int(band(np.array([len(s)]))[0]) + role)[1]) for role in (0, 1)):
@@ -369,13 +422,14 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # Equal texts in one task are hashed like any other; only their keys are sent once.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, node long, n_shingles long, short boolean"), "sets")
+    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, node long, n_shingles long, short boolean, bits binary"), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
     packed = source.select("text").mapInArrow(_packed_keys(parts), "p long, keys binary, refs binary, nodes binary, sizes binary")
     matched = materialize(packed.groupBy("p").applyInArrow(_match, _MATCH), "matched")
-    pairs = materialize(matched.where("kind = 0").select("a", "b").distinct(), "pairs")
+    bits = materialize(table.where("n_shingles > 3").groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n")), "bits")
+    pairs = materialize(plausible(matched.where("kind = 0").select("a", "b").distinct(), bits), "pairs")
     members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"))
     by_empty = table.where("short").select("node").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).union(by_empty).distinct()
@@ -384,25 +438,18 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     ids = table.join(wanted, "node", "left_semi").groupBy("node", "doc_id").agg((F.count("*") > 1).alias("repeated"))
     one = ids.groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("one"), "repeated"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("node", "x.*")
     texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("text", "node", "repeated")
-    fetched = texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean")
-    sets = materialize(fetched, "fetched")
+    sets = materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean"), "fetched")
     sets = sets.where("not repeated").select("node", "sh").union(sets.where("repeated").select("node", "sh").dropDuplicates(["node"]))
 
-    # First each node with its smallest partner; then only pairs that are still apart.
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(verified(first, sets), "links")
+    links = materialize(verified(pairs, sets), "links")
     comps = components(links)
-    apart = _label(_label(pairs.join(first, ["a", "b"], "left_anti").withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b")), comps, "rb")
-    second = materialize(verified(apart.where("ra <> rb").select("a", "b"), sets), "links")
-    if not second.isEmpty():
-        links = links.union(second)
-        comps = components(links)
     more, given_up = _open_pairs(members, comps)
     lost = given_up.groupBy("node").agg(F.count("*").alias("lost"))
     short = by_empty.withColumn("lost", F.lit(0).cast("long")).union(lost).groupBy("node").agg(F.max("lost").alias("lost"))
     rest = more.union(_short_pairs(short, sets)).distinct()
     rest = _label(rest.withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b"))
     rest = _label(rest, comps, "rb").where("ra <> rb").select("a", "b")
+    rest = materialize(plausible(rest, bits), "rest")
     found = materialize(verified(rest, sets), "links")
     if not found.isEmpty():
         comps = components(links.union(found))
