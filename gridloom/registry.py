@@ -1,6 +1,170 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables and, for each, its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.operators import safety, windowing
+from gridloom.plans.sheets import Sheets, range_of
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            SQL[make.__name__] = sql
+        return make
+
+    return add
+
+
+def _total(name: str, formula: str, tab: str, columns: str, sql: str) -> None:
+    """A formula over whole columns; {0}, {1} ... stand for their ranges."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, tab)
+        areas = [f"{tab}!{range_of(df, c)}" for c in columns.split()]
+        return Sheets({tab: df}).total(formula.format(*areas)).select(F.round("value", 2).alias("value"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_total("f_sum", "SUM({0})", "lineitem", "l_extendedprice", "SELECT round(sum(l_extendedprice), 2) AS value FROM lineitem")
+_total("f_average", "AVERAGE({0})", "lineitem", "l_quantity", "SELECT round(avg(l_quantity), 2) AS value FROM lineitem")
+_total("f_min", "MIN({0})", "orders", "o_totalprice", "SELECT min(o_totalprice) AS value FROM orders")
+_total("f_max", "MAX({0})", "orders", "o_totalprice", "SELECT max(o_totalprice) AS value FROM orders")
+_total("f_count", "COUNT({0},{1})", "orders", "o_totalprice o_orderstatus", "SELECT count(o_totalprice)::DOUBLE AS value FROM orders")
+_total("f_counta", "COUNTA({0},{1})", "orders", "o_totalprice o_orderstatus", "SELECT (count(o_totalprice) + count(o_orderstatus))::DOUBLE AS value FROM orders")
+_total("f_product", "PRODUCT({0})", "nation", "n_regionkey", "SELECT round(product(n_regionkey::DOUBLE), 2) AS value FROM nation")
+_total("f_spread", "(MAX({0})-MIN({0}))/COUNT({0})*100%", "part", "p_retailprice", "SELECT round((max(p_retailprice) - min(p_retailprice)) / count(p_retailprice), 2) AS value FROM part")
+_total("f_iferror_total", 'IFERROR(SUM({0})/SUM({1}),-1)', "customer", "c_custkey c_name", "SELECT -1.0::DOUBLE AS value")
+_total("f_sumif_text", 'SUMIF({0},"building",{1})', "customer", "c_mktsegment c_acctbal", "SELECT round(sum(c_acctbal) FILTER (WHERE lower(c_mktsegment) = 'building'), 2) AS value FROM customer")
+_total("f_sumif_return", 'SUMIF({0},"r",{1})', "lineitem", "l_returnflag l_extendedprice", "SELECT round(sum(l_extendedprice) FILTER (WHERE lower(l_returnflag) = 'r'), 2) AS value FROM lineitem")
+_total("f_countif_wild", 'COUNTIF({0},"*widget")', "part", "p_name", "SELECT (count(*) FILTER (WHERE lower(p_name) LIKE '%widget'))::DOUBLE AS value FROM part")
+_total("f_countif_one", 'COUNTIF({0},"<>?urniture")', "customer", "c_mktsegment", "SELECT (count(*) FILTER (WHERE lower(c_mktsegment) NOT LIKE '_urniture'))::DOUBLE AS value FROM customer")
+_total("f_countif_num", 'COUNTIF({0},">=25")', "lineitem", "l_quantity", "SELECT (count(*) FILTER (WHERE l_quantity >= 25))::DOUBLE AS value FROM lineitem")
+_total("f_averageif", 'AVERAGEIF({0},"<10",{1})', "lineitem", "l_quantity l_discount", "SELECT round(avg(l_discount) FILTER (WHERE l_quantity < 10), 2) AS value FROM lineitem")
+
+
+@query("SELECT bool_and(o_totalprice <> 0) AS all_set, bool_or(o_totalprice <> 0) AS any_set FROM orders")
+def f_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders")
+    area = f"orders!{range_of(df, 'o_totalprice')}"
+    sheets = Sheets({"orders": df})
+    both = sheets.total(f"AND({area})", "all_set").select("all_set", F.lit(1).alias("k")).join(sheets.total(f"OR({area})", "any_set").select("any_set", F.lit(1).alias("k")), "k")
+    return both.select("all_set", "any_set")
+
+
+def _rows(name: str, tab: str, key: str, columns: str, sql: str, **formulas: str) -> None:
+    """Formulas of one row; {0}, {1} ... stand for its cells."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, tab)
+        cells = [range_of(df, c).partition(":")[0] for c in columns.split()]
+        made = Sheets({tab: df}).rows(tab, [key], **{n: x.format(*cells) for n, x in formulas.items()})
+        return made.select(key, *formulas)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_rows("f_text", "part", "p_partkey", "p_name p_brand p_size", "SELECT p_partkey, length(p_name)::DOUBLE AS n, lower(p_name) AS low, upper(p_brand) AS up, trim(p_name) AS bare, p_name || ' ' || p_size::VARCHAR AS tagged FROM part", n="LEN({0})", low="LOWER({0})", up="UPPER({1})", bare="TRIM({0})", tagged='{0}&" "&{2}')
+_rows("f_math", "orders", "o_orderkey", "o_totalprice o_custkey", "SELECT o_orderkey, abs(-o_totalprice) AS size, floor(o_totalprice / 7) AS whole, sqrt(o_totalprice) AS root, o_custkey::DOUBLE - 7 * floor(o_custkey::DOUBLE / 7) AS rest, o_custkey::DOUBLE * o_custkey::DOUBLE AS square, o_totalprice * 15 / 100 AS tax FROM orders", size="ABS(-{0})", whole="INT({0}/7)", root="SQRT({0})", rest="MOD({1},7)", square="{1}^2", tax="{0}*15/100")
+_rows("f_if", "customer", "c_custkey", "c_acctbal c_mktsegment", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'owns' END AS state, lower(c_mktsegment) = 'building' AS builds, NOT (c_acctbal > 100) AS small FROM customer", state='IF({0}<0,"owes","owns")', builds='{1}="Building"', small="NOT({0}>100)")
+_rows("f_iferror", "lineitem", "l_orderkey", "l_extendedprice l_discount", "SELECT l_orderkey, CASE WHEN l_discount = 0 THEN -1 ELSE l_extendedprice / l_discount END AS ratio FROM lineitem", ratio="IFERROR({0}/{1},-1)")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) SELECT row::BIGINT AS row, o_orderkey, o_totalprice FROM r WHERE row BETWEEN 50 AND 99")
+def w_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowing.row_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return rows.where(F.col("row").between(50, 99)).select(F.col("row").cast("long").alias("row"), "o_orderkey", "o_totalprice")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) SELECT (row // 50)::BIGINT AS page, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM r GROUP BY 1")
+def w_page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowing.row_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return rows.groupBy(windowing.page(F.col("row")).alias("page")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as columns of sheets by brand: sizes are widths, some chosen, some hidden."""
+    df = table(spark, sf_dir, "part")
+    return df.select(F.col("p_brand").alias("sheet_ix"), F.col("p_partkey").cast("int").alias("col"), F.col("p_size").cast("double").alias("width"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey").cast("double")).alias("override"), (F.col("p_partkey") % 7 == 0).alias("hidden"))
+
+
+_WIDTHS = "SELECT p_brand AS sheet_ix, p_partkey::INT AS col, CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN greatest(24, least(2400, p_partkey)) ELSE p_size END::DOUBLE AS w FROM part"
+
+
+@query(f'WITH w AS ({_WIDTHS}) SELECT sheet_ix, col, sum(w) OVER o - w AS "offset", sum(w) OVER o AS "end" FROM w WINDOW o AS (PARTITION BY sheet_ix ORDER BY col)')
+def w_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowing.column_offsets(_columns(spark, sf_dir)).select("sheet_ix", "col", "offset", "end")
+
+
+@query(f'WITH w AS ({_WIDTHS}), o AS (SELECT sheet_ix, col, sum(w) OVER (PARTITION BY sheet_ix ORDER BY col) - w AS x FROM w), p AS (SELECT DISTINCT p_brand AS sheet_ix, (p_size * 100)::DOUBLE AS x FROM part) SELECT p.sheet_ix, p.x, max(o.col) AS col FROM p LEFT JOIN o ON o.sheet_ix = p.sheet_ix AND o.x <= p.x GROUP BY 1, 2')
+def w_column_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet_ix"), (F.col("p_size") * 100).cast("double").alias("x")).distinct()
+    return windowing.column_at(windowing.column_offsets(_columns(spark, sf_dir)).select("sheet_ix", "col", "offset"), points)
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as cells of a sheet for each priority, and every 50th as the corner of a merge."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sheet_ix"), (F.col("o_orderkey") % 997).cast("int").alias("row"), (F.col("o_custkey") % 40).cast("int").alias("col"), "o_orderkey")
+    m = o.where("o_orderkey % 50 = 0").select("sheet_ix", F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o_orderkey") % 9).cast("int").alias("r1"), (F.col("col") + F.col("o_orderkey") % 4).cast("int").alias("c1"))
+    return o, m
+
+
+_CELLS = "o AS (SELECT o_orderpriority AS sheet_ix, (o_orderkey % 997)::INT AS row, (o_custkey % 40)::INT AS col, o_orderkey FROM orders), m AS (SELECT sheet_ix, row AS r0, col AS c0, (row + o_orderkey % 9)::INT AS r1, (col + o_orderkey % 4)::INT AS c1 FROM o WHERE o_orderkey % 50 = 0)"
+
+
+@query(f"WITH {_CELLS} SELECT * FROM m WHERE r0 <= 149 AND r1 >= 100 AND c0 <= 19 AND c1 >= 10")
+def w_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowing.merges_in(_grid(spark, sf_dir)[1], (100, 149), (10, 19))
+
+
+@query(f"WITH {_CELLS} SELECT o.sheet_ix, o.row, o.col, o.o_orderkey, m.r0, m.c0 FROM o LEFT JOIN m ON o.sheet_ix = m.sheet_ix AND o.row BETWEEN m.r0 AND m.r1 AND o.col BETWEEN m.c0 AND m.c1")
+def w_covering_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowing.covering_merge(*_grid(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS} SELECT o.* FROM o WHERE row % 10 <> 3 AND col % 8 <> 5")
+def w_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = _grid(spark, sf_dir)
+    return windowing.visible(cells, cells.where("row % 10 = 3").select("sheet_ix", "row").distinct(), cells.where("col % 8 = 5").select("sheet_ix", "col").distinct()).select(cells.columns)
+
+
+@query(f"WITH {_CELLS} SELECT sheet_ix, max(row) + 1 AS rows, max(col) + 1 AS columns FROM o GROUP BY 1")
+def w_used_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowing.used_range(_grid(spark, sf_dir)[0])
+
+
+@query(f"WITH {_CELLS} SELECT sheet_ix, row, col, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN row % 4 = 0 THEN row WHEN col % 2 = 0 THEN col ELSE 0 END::INT AS style FROM o")
+def j_style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = _grid(spark, sf_dir)
+    cells = cells.withColumn("style_ix", F.when(F.col("o_orderkey") % 3 == 0, 7))
+    rows = cells.where("row % 4 = 0").select("sheet_ix", "row", F.col("row").alias("style_ix")).distinct()
+    columns = cells.where("col % 2 = 0").select("sheet_ix", "col", F.col("col").alias("style_ix")).distinct()
+    return windowing.styled(cells, rows, columns).select("sheet_ix", "row", "col", "o_orderkey", "style")
+
+
+@query("SELECT page_id, CASE WHEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./]*)$', 1)) IN ('pdf', 'docx', 'pptx', 'xlsx', 'xls', 'doc', 'ppt') THEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./]*)$', 1)) END AS format FROM pages")
+def s_url_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", safety.document_format(F.col("url")).alias("format"))
+
+
+@query("SELECT page_id, url LIKE 'https://%' AND NOT regexp_matches(url, '[\\x00-\\x20\\\\@]') AS safe FROM pages")
+def s_url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", safety.safe_url(F.col("url")).alias("safe"))
+
+
+@query()
+def s_inert_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", safety.inert("html").alias("html"))
