@@ -18,7 +18,7 @@ MAX_ENTRIES, BUFFERED, STREAMING = 4096, (32 << 20, 128 << 20), (512 << 20, 1024
 
 def document_format(source: Column, explicit: Column | None = None) -> Column:
     """The explicit format if given and known, else the extension of the decoded path, else null."""
-    absolute = F.when(source.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), source).otherwise(F.concat(F.lit("https://document.invalid/"), F.ltrim(F.lit("/"), source)))
+    absolute = F.when(source.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), source).otherwise(F.concat(F.lit("https://document.invalid/"), F.ltrim(source, F.lit("/"))))
     path = F.coalesce(F.try_url_decode(F.regexp_replace(F.try_parse_url(absolute, F.lit("PATH")), r"\+", "%2B")), F.lit(""))
     found = F.lower(F.element_at(F.split(path, r"\."), -1))
     found = F.when(found.isin(*FORMATS), found)

@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.cells import rebase
+
 # Rows of a page, columns of a window, bounds of a chosen width, default width.
 PAGE_ROWS, WINDOW_COLUMNS, MIN_WIDTH, MAX_WIDTH, WIDTH = 50, 20, 24, 2400, 64
 
@@ -101,9 +104,6 @@ def with_shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
 
 def with_shared_formulas(cells: DataFrame) -> DataFrame:
     """Formulas of cells that only name a family ``si``: the family's formula, moved to the cell; #REF! without one."""
-    import pandas as pd
-
-    from gridloom.functions.cells import rebase
 
     @F.pandas_udf(T.StringType())
     def moved(formula: pd.Series, rows: pd.Series, columns: pd.Series) -> pd.Series:
