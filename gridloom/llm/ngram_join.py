@@ -20,9 +20,9 @@ How the work is laid out:
    are fetched once; pairs are verified on the whole sets.
 4. Components of the verified links join nodes. In keys with many nodes only pairs across
    components are still open: they are verified too when there are not too many. Keys of
-   widespread passages, with many unrelated nodes, are given up instead, and their
-   allowance is taken off: a node whose remaining allowance still exceeds its possible
-   differences loses nothing. The others are joined exactly among themselves by their
+   widespread passages, with many unrelated nodes, are given up instead, and the
+   allowance of their segments is taken off: a node whose remaining allowance still exceeds
+   its possible differences loses nothing. The others are joined exactly among themselves by their
    rarest shingles (``_short_pairs``).
 
 No link is lost, and nothing is capped or sampled. Shingles and sets are 64-bit hashes.
@@ -184,8 +184,8 @@ def scheme(j: int) -> tuple[int, int, int]:
     return best[1], best[2], hi
 
 
-def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their rows, each row's spare allowance) in the scheme of each row's band (role 0) or the one above (role 1).
+def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their rows, each row's spare allowance, the segments of the keys) in the scheme of each row's band (role 0) or the one above (role 1).
 
     The spare allowance is that of the segments with usable keys, less the possible differences, less 1.
     """
@@ -198,24 +198,48 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarra
     spare = -((sizes + partner) * (DEN - NUM) // (DEN + NUM)) - 1
     rows = np.repeat(np.arange(len(sizes)), sizes)
     if not len(sets):
-        return np.zeros(0, U), rows, spare
+        return np.zeros(0, U), rows, spare, rows
     place = ((sets >> U(32)) * m[rows].astype(U)) >> U(32)
     new = np.ones(len(sets), bool)
     new[1:] = (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])
     first = np.flatnonzero(new)
     edge = np.append(first, len(sets))
-    mixed = vt.mix(sets + U(0xA0761D6478BD642F))
+    # Of the leading bits, those that packed sets keep, so that keys can be made from these too.
+    mixed = vt.mix((sets & ~U((1 << 8 * (8 - PACKED)) - 1)) + U(0xA0761D6478BD642F))
     total = _sums(mixed, edge)
     owner, held = rows[first], np.diff(edge)
     salt = vt.mix((bands[owner].astype(U) << U(32)) ^ place[first] ^ U(0xE7037ED1A0B428DB))
     keys = vt.mix(total + salt)
+    segment = np.arange(len(first))
     usable = np.where(t[owner] == 1, held >= 2, held >= 1)
     spare = spare + np.bincount(owner, weights=usable * (t[owner] + 1), minlength=len(sizes)).astype(np.int64)
     cut = (t[rows] == 1) & (np.repeat(held, held) >= 2)
     if cut.any():
         one_less = vt.mix(np.repeat(total + salt, held)[cut] - mixed[cut])
         keys, owner = np.concatenate([keys, one_less]), np.concatenate([owner, rows[cut]])
-    return keys, owner, spare
+        segment = np.concatenate([segment, np.repeat(segment, held)[cut]])
+    return keys, owner, spare, segment
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+
+
+def names(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What widespread keys are known by after matching: their low bits and their partition."""
+    return vt.mix(((keys & U(0xFFFFFFFF)) << U(32)) ^ part.astype(U))
+
+
+def falls_short(s: np.ndarray, lost: np.ndarray, parts: int) -> bool:
+    """Whether the set's spare allowance, less that of the segments with a key named in ``lost``, is negative in one of its schemes."""
+    at = np.array([0, len(s)])
+    for role in (0, 1):
+        keys, _, spare, segment = segment_keys(s, at, role)
+        t = scheme(int(band(np.array([max(len(s), 1)]))[0]) + role)[1]
+        gone = len(np.unique(segment[np.isin(names(keys, parts_of(keys, parts)), lost)])) if len(lost) else 0
+        if spare[0] < gone * (t + 1):
+            return True
+    return False
 
 
 # -- passes over the texts --------------------------------------------------
@@ -254,7 +278,7 @@ def _packed_keys(parts: int):
 
         def flush():
             keys, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+            part = parts_of(keys, parts)
             order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -278,7 +302,7 @@ def _packed_keys(parts: int):
                 sets, at = sets[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])])
                 nodes, sizes = nodes[fresh], sizes[fresh]
                 for role in (0, 1):
-                    keys, owner, _ = segment_keys(sets, at, role)
+                    keys, owner, *_ = segment_keys(sets, at, role)
                     held.append((keys, nodes[owner], sizes[owner].astype(np.uint32)))
                     count += len(keys)
                 if count >= FLUSH_KEYS:
@@ -325,7 +349,7 @@ def _match(table: pa.Table) -> pa.Table:
     ok = (a != b) & (np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM)
     code = np.unique(a[ok] * len(uniq) + b[ok])
     a, b = uniq[code // len(uniq)], uniq[code % len(uniq)]
-    name = vt.mix((key[many].astype(U) << U(32)) ^ U(part))
+    name = names(key[many].astype(U), np.full(len(many), part))
     return pa.table({
         "kind": pa.array(np.concatenate([np.zeros(len(a), np.int32), np.ones(len(many), np.int32)])),
         "a": pa.array(vt.signed(np.concatenate([a, uniq[ref[many]]]))),
@@ -389,18 +413,21 @@ def _open_pairs(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFr
     return pairs, still.where("not few").select("key", "node")
 
 
-def _allowances(batches):
-    """Rows (node, lost) to (node, shingle) of nodes whose allowance, less what is lost, is short."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            s = unpack(batch.column(1)[i].as_buffer())
-            at = np.array([0, len(s)])
-            lost = batch.column(2)[i].as_py()
-            if any(segment_keys(s, at, role)[2][0] < lost * (1 + scheme(int(band(np.array([len(s)]))[0]) + role)[1]) for role in (0, 1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(vt.signed(s)), pa.array(np.full(len(s), len(s)))], ["node", "s", "n"])
+def _listed(parts: int):
+    """Rows (node, set, keys given up) to (node, shingle, size) of nodes whose allowance falls short."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = unpack(batch.column(1)[i].as_buffer())
+                lost = np.array(batch.column(2)[i].as_py() or [], np.int64).view(U)
+                if falls_short(s, lost, parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(vt.signed(s)), pa.array(np.full(len(s), len(s)))], ["node", "s", "n"])
+
+    return run
 
 
-def _short_pairs(short: DataFrame, sets: DataFrame) -> DataFrame:
+def _short_pairs(short: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """All pairs of nodes with short allowances that may be linked: they share one of their rarest shingles.
 
     Linked sets share at least 0.75 of either, so in one order of all shingles, here by
@@ -408,7 +435,7 @@ def _short_pairs(short: DataFrame, sets: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    listed = materialize(short.join(sets, "node").select("node", "sh", "lost").mapInArrow(_allowances, "node long, s long, n long"), "short")
+    listed = materialize(short.join(sets, "node").select("node", "sh", "lost").mapInArrow(_listed(parts), "node long, s long, n long"), "short")
     seen = listed.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     place = W.partitionBy("node").orderBy("f", "s")
     first = listed.join(seen, "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(place))
@@ -444,9 +471,10 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     links = materialize(verified(pairs, sets), "links")
     comps = components(links)
     more, given_up = _open_pairs(members, comps)
-    lost = given_up.groupBy("node").agg(F.count("*").alias("lost"))
-    short = by_empty.withColumn("lost", F.lit(0).cast("long")).union(lost).groupBy("node").agg(F.max("lost").alias("lost"))
-    rest = more.union(_short_pairs(short, sets)).distinct()
+    # A node's keys are no more than its set allows.
+    lost = by_empty.withColumn("key", F.lit(None).cast("long")).union(given_up.select("node", "key"))
+    short = lost.groupBy("node").agg(F.collect_set("key").alias("lost"))
+    rest = more.union(_short_pairs(short, sets, parts)).distinct()
     rest = _label(rest.withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b"))
     rest = _label(rest, comps, "rb").where("ra <> rb").select("a", "b")
     rest = materialize(plausible(rest, bits), "rest")
