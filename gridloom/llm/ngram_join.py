@@ -15,14 +15,13 @@ How the work is laid out:
    one node from there on. A task sends the keys of a node once, however many copies it reads.
 2. Keys travel packed as arrays, dealt over partitions of bounded size, and are matched
    there by sorting. Keys with few nodes give all their pairs. Keys with many nodes give a
-   star around their smallest node, and their membership is kept.
-3. Bitmaps of the sets rule out most pairs, exactly. Sets of the nodes that may still matter
-   are fetched once; pairs are verified on the whole sets.
-4. Components of the verified links join nodes. In keys with many nodes only pairs across
-   components are still open: they are verified too when there are not too many. Keys of
-   widespread passages, with many unrelated nodes, are given up instead, and the
-   allowance of their segments is taken off: a node whose remaining allowance still exceeds
-   its possible differences loses nothing. The others are joined exactly among themselves by their
+   star around their smallest node, and their membership is kept, with each node's segment.
+3. Bitmaps of the sets rule out most pairs, exactly. The sets of the other pairs' nodes are
+   fetched, and the pairs are verified on the whole sets.
+4. Components of the verified links join nodes. Keys with many nodes that still hold several
+   components, such as those of widespread passages, are given up, and the allowance of their
+   segments is taken off: a node whose remaining allowance still exceeds its possible
+   differences loses nothing. The others are joined exactly among themselves by their
    rarest shingles (``_short_pairs``).
 
 No link is lost, and nothing is capped or sampled. Shingles and sets are 64-bit hashes.
@@ -53,8 +52,6 @@ NUM, DEN = 75, 100
 WORDS = 5
 #: Nodes of a key from which it gives a star instead of all pairs.
 STAR = 8
-#: Pairs a key may still have across components, as a multiple of its nodes.
-OPEN_PAIRS = 32
 #: Keys of a partition, and keys held by a task before it sends them.
 PART_KEYS, FLUSH_KEYS = 2_000_000, 2_000_000
 #: Bytes of a shingle in the sets that are fetched for verification.
@@ -185,9 +182,10 @@ def scheme(j: int) -> tuple[int, int, int]:
 
 
 def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their rows, each row's spare allowance, the segments of the keys) in the scheme of each row's band (role 0) or the one above (role 1).
+    """(keys, their rows, their segments, what each row can spare) in the scheme of each row's band (role 0) or the one above (role 1).
 
-    The spare allowance is that of the segments with usable keys, less the possible differences, less 1.
+    What a row can spare are segments: the allowance of those with usable keys, less the
+    possible differences, less 1, over the allowance of one; under 0 it is short already.
     """
     sizes = np.diff(at)
     bands = band(np.maximum(sizes, 1)) + role
@@ -198,19 +196,18 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarra
     spare = -((sizes + partner) * (DEN - NUM) // (DEN + NUM)) - 1
     rows = np.repeat(np.arange(len(sizes)), sizes)
     if not len(sets):
-        return np.zeros(0, U), rows, spare, rows
+        return np.zeros(0, U), rows, rows, spare // (t + 1)
     place = ((sets >> U(32)) * m[rows].astype(U)) >> U(32)
     new = np.ones(len(sets), bool)
     new[1:] = (place[1:] != place[:-1]) | (rows[1:] != rows[:-1])
     first = np.flatnonzero(new)
     edge = np.append(first, len(sets))
-    # Of the leading bits, those that packed sets keep, so that keys can be made from these too.
-    mixed = vt.mix((sets & ~U((1 << 8 * (8 - PACKED)) - 1)) + U(0xA0761D6478BD642F))
+    mixed = vt.mix(sets + U(0xA0761D6478BD642F))
     total = _sums(mixed, edge)
     owner, held = rows[first], np.diff(edge)
     salt = vt.mix((bands[owner].astype(U) << U(32)) ^ place[first] ^ U(0xE7037ED1A0B428DB))
     keys = vt.mix(total + salt)
-    segment = np.arange(len(first))
+    segment = place[first].astype(np.int64)
     usable = np.where(t[owner] == 1, held >= 2, held >= 1)
     spare = spare + np.bincount(owner, weights=usable * (t[owner] + 1), minlength=len(sizes)).astype(np.int64)
     cut = (t[rows] == 1) & (np.repeat(held, held) >= 2)
@@ -218,44 +215,30 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarra
         one_less = vt.mix(np.repeat(total + salt, held)[cut] - mixed[cut])
         keys, owner = np.concatenate([keys, one_less]), np.concatenate([owner, rows[cut]])
         segment = np.concatenate([segment, np.repeat(segment, held)[cut]])
-    return keys, owner, spare, segment
+    return keys, owner, segment, spare // (t + 1)
 
 
-def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+def narrow(values: np.ndarray) -> bytes:
+    """In 2 bytes each where they fit, else 4."""
+    return values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32).tobytes()
 
 
-def names(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """What widespread keys are known by after matching: their low bits and their partition."""
-    return vt.mix(((keys & U(0xFFFFFFFF)) << U(32)) ^ part.astype(U))
-
-
-def falls_short(s: np.ndarray, lost: np.ndarray, parts: int) -> bool:
-    """Whether the set's spare allowance, less that of the segments with a key named in ``lost``, is negative in one of its schemes."""
-    at = np.array([0, len(s)])
-    for role in (0, 1):
-        keys, _, spare, segment = segment_keys(s, at, role)
-        t = scheme(int(band(np.array([max(len(s), 1)]))[0]) + role)[1]
-        gone = len(np.unique(segment[np.isin(names(keys, parts_of(keys, parts)), lost)])) if len(lost) else 0
-        if spare[0] < gone * (t + 1):
-            return True
-    return False
+def widened(raw, count: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * count else np.uint16).astype(np.int64)
 
 
 # -- passes over the texts --------------------------------------------------
 
 
 def _table_of_sets(batches):
-    """doc_id, node, n_shingles, whether its empty segments leave a node's allowance short, and its bitmap."""
+    """doc_id, node, n_shingles, the segments that a node can spare in either scheme, and its bitmap."""
     for batch in batches:
         text = batch.column(1)
         for lo, hi, data, offsets in vt.chunks(text):
             sets, at = shingle_sets(data, offsets)
             sizes = np.diff(at)
-            short = np.zeros(len(sizes), bool)
-            for role in (0, 1):
-                short |= segment_keys(sets, at, role)[2] < 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), pa.array(short & (sizes > 3)), pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "node", "n_shingles", "short", "bits"])
+            spare = [pa.array(segment_keys(sets, at, role)[3]) for role in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), *spare, pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "node", "n_shingles", "spare0", "spare1", "bits"])
 
 
 def _sets_by_node(batches):
@@ -273,12 +256,12 @@ def _sets_by_node(batches):
 def _packed_keys(parts: int):
     def run(batches):
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
         def flush():
-            keys, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = parts_of(keys, parts)
+            keys, nodes, sizes, segments = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
             order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -287,7 +270,7 @@ def _packed_keys(parts: int):
                     uniq, ref = np.unique(nodes[own], return_inverse=True)
                     size = np.zeros(len(uniq), np.uint32)
                     size[ref] = sizes[own]
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[own].astype(np.uint32), ref.astype(np.uint32), uniq, size))], ["p", "keys", "refs", "nodes", "sizes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([x], pa.binary()) for x in (keys[own].astype(np.uint32).tobytes(), narrow(ref), narrow(segments[own]), uniq.tobytes(), size.tobytes()))], ["p", "keys", "refs", "segments", "nodes", "sizes"])
 
         for batch in batches:
             for _, _, data, offsets in vt.chunks(batch.column(0)):
@@ -302,8 +285,8 @@ def _packed_keys(parts: int):
                 sets, at = sets[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])])
                 nodes, sizes = nodes[fresh], sizes[fresh]
                 for role in (0, 1):
-                    keys, owner, *_ = segment_keys(sets, at, role)
-                    held.append((keys, nodes[owner], sizes[owner].astype(np.uint32)))
+                    keys, owner, segment, _ = segment_keys(sets, at, role)
+                    held.append((keys, nodes[owner], sizes[owner].astype(np.uint32), 2 * segment + role))
                     count += len(keys)
                 if count >= FLUSH_KEYS:
                     yield from flush()
@@ -317,23 +300,25 @@ def _packed_keys(parts: int):
 
 # -- matching ---------------------------------------------------------------
 
-_MATCH = "kind int, a long, b long"
+_MATCH = "kind int, a long, b long, segment int"
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key) of keys with more than STAR nodes."""
-    keys, refs, nodes, sizes, base = [], [], [], [], 0
+    """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key, twice the node's segment plus the role) of keys with more than STAR nodes."""
+    keys, refs, segments, nodes, sizes, base = [], [], [], [], [], 0
     for row in range(table.num_rows):
         n = np.frombuffer(table["nodes"][row].as_buffer(), U)
         keys.append(np.frombuffer(table["keys"][row].as_buffer(), np.uint32))
-        refs.append(np.frombuffer(table["refs"][row].as_buffer(), np.uint32).astype(np.int64) + base)
+        refs.append(widened(table["refs"][row].as_buffer(), len(keys[-1])) + base)
+        segments.append(widened(table["segments"][row].as_buffer(), len(keys[-1])))
         nodes.append(n)
         sizes.append(np.frombuffer(table["sizes"][row].as_buffer(), np.uint32))
         base += len(n)
     part = table["p"][0].as_py()
     uniq, first, local = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
     size = np.concatenate(sizes)[first].astype(np.int64)
-    both = np.unique((np.concatenate(keys).astype(U) << U(32)) | local[np.concatenate(refs)].astype(U))
+    both, at = np.unique((np.concatenate(keys).astype(U) << U(32)) | local[np.concatenate(refs)].astype(U), return_index=True)
+    segment = np.concatenate(segments)[at]
     key, ref = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     run = np.diff(np.append(start, len(key)))
@@ -349,11 +334,12 @@ def _match(table: pa.Table) -> pa.Table:
     ok = (a != b) & (np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM)
     code = np.unique(a[ok] * len(uniq) + b[ok])
     a, b = uniq[code // len(uniq)], uniq[code % len(uniq)]
-    name = names(key[many].astype(U), np.full(len(many), part))
+    name = vt.mix((key[many].astype(U) << U(32)) ^ U(part))
     return pa.table({
         "kind": pa.array(np.concatenate([np.zeros(len(a), np.int32), np.ones(len(many), np.int32)])),
         "a": pa.array(vt.signed(np.concatenate([a, uniq[ref[many]]]))),
         "b": pa.array(vt.signed(np.concatenate([b, name]))),
+        "segment": pa.array(np.concatenate([np.zeros(len(a), np.int32), segment[many].astype(np.int32)])),
     })
 
 
@@ -387,11 +373,9 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold; only sets of these nodes travel to the pairs."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = materialize(sets.join(needed, "node", "left_semi"), "needed")
-    left = own.select(F.col("node").alias("a"), F.col("sh").alias("left"))
-    right = own.select(F.col("node").alias("b"), F.col("sh").alias("right"))
+    """The pairs (a, b) of nodes whose whole sets, all among ``sets``, reach the threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("sh").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("sh").alias("right"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
 
 
@@ -401,33 +385,21 @@ def _label(nodes: DataFrame, comps: DataFrame, name: str = "root") -> DataFrame:
     return nodes.join(found, F.col("node") == F.col("_n"), "left").withColumn(name, F.coalesce("_r", "node")).drop("_n", "_r")
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs across components of keys that have few, members of the other open keys)."""
+def _given_up(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the keys that hold nodes of several components."""
     held = materialize(_label(members, comps), "members")
-    per = held.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("roots"))
-    per = per.where("roots > 1").withColumn("few", (F.col("n") * F.col("n") - F.col("same")) / 2 <= OPEN_PAIRS * F.col("n"))
-    still = materialize(held.join(per.select("key", "few"), "key"), "open")
-    few = still.where("few").select("key", "node", "root")
-    other = few.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    pairs = few.join(other, "key").where("root <> other_root and node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs, still.where("not few").select("key", "node")
+    several = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return held.join(several, "key", "left_semi").select("node", "segment")
 
 
-def _listed(parts: int):
-    """Rows (node, set, keys given up) to (node, shingle, size) of nodes whose allowance falls short."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = unpack(batch.column(1)[i].as_buffer())
-                lost = np.array(batch.column(2)[i].as_py() or [], np.int64).view(U)
-                if falls_short(s, lost, parts):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(vt.signed(s)), pa.array(np.full(len(s), len(s)))], ["node", "s", "n"])
-
-    return run
+def _listed(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s = unpack(batch.column(1)[i].as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(vt.signed(s)), pa.array(np.full(len(s), len(s)))], ["node", "s", "n"])
 
 
-def _short_pairs(short: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _short_pairs(sets: DataFrame) -> DataFrame:
     """All pairs of nodes with short allowances that may be linked: they share one of their rarest shingles.
 
     Linked sets share at least 0.75 of either, so in one order of all shingles, here by
@@ -435,7 +407,7 @@ def _short_pairs(short: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    listed = materialize(short.join(sets, "node").select("node", "sh", "lost").mapInArrow(_listed(parts), "node long, s long, n long"), "short")
+    listed = materialize(sets.mapInArrow(_listed, "node long, s long, n long"), "short")
     seen = listed.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     place = W.partitionBy("node").orderBy("f", "s")
     first = listed.join(seen, "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(place))
@@ -444,41 +416,51 @@ def _short_pairs(short: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return first.join(other, "s").where(f"node < b and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _fetched(wanted: DataFrame, table: DataFrame, source: DataFrame) -> DataFrame:
+    """(node, set) of the wanted nodes.
+
+    One document of each is read: that of its smallest id, known by id and node. Rows that
+    agree in both are told apart by nothing, and only their sets are made distinct.
+    """
+    ids = table.join(wanted, "node", "left_semi").groupBy("node", "doc_id").agg((F.count("*") > 1).alias("repeated"))
+    one = ids.groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("one"), "repeated"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("node", "x.*")
+    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("text", "node", "repeated")
+    sets = materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean"), "fetched")
+    return sets.where("not repeated").select("node", "sh").union(sets.where("repeated").select("node", "sh").dropDuplicates(["node"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, set_id (equal for equal sets)."""
     spark = docs.sparkSession
     # Equal texts in one task are hashed like any other; only their keys are sent once.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, node long, n_shingles long, short boolean, bits binary"), "sets")
+    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, node long, n_shingles long, spare0 long, spare1 long, bits binary"), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
-    packed = source.select("text").mapInArrow(_packed_keys(parts), "p long, keys binary, refs binary, nodes binary, sizes binary")
+    packed = source.select("text").mapInArrow(_packed_keys(parts), "p long, keys binary, refs binary, segments binary, nodes binary, sizes binary")
     matched = materialize(packed.groupBy("p").applyInArrow(_match, _MATCH), "matched")
-    bits = materialize(table.where("n_shingles > 3").groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n")), "bits")
+    large = table.where("n_shingles > 3")
+    bits = materialize(large.groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n")), "bits")
     pairs = materialize(plausible(matched.where("kind = 0").select("a", "b").distinct(), bits), "pairs")
-    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"))
-    by_empty = table.where("short").select("node").distinct()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).union(by_empty).distinct()
-    # One document of each wanted node: that of its smallest id, known by id and node. Rows that
-    # agree in both are told apart by nothing, and only their sets are made distinct.
-    ids = table.join(wanted, "node", "left_semi").groupBy("node", "doc_id").agg((F.count("*") > 1).alias("repeated"))
-    one = ids.groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("one"), "repeated"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("node", "x.*")
-    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("text", "node", "repeated")
-    sets = materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean"), "fetched")
-    sets = sets.where("not repeated").select("node", "sh").union(sets.where("repeated").select("node", "sh").dropDuplicates(["node"]))
-
-    links = materialize(verified(pairs, sets), "links")
+    links = materialize(verified(pairs, _fetched(_ends(pairs).distinct(), table, source)), "links")
     comps = components(links)
-    more, given_up = _open_pairs(members, comps)
-    # A node's keys are no more than its set allows.
-    lost = by_empty.withColumn("key", F.lit(None).cast("long")).union(given_up.select("node", "key"))
-    short = lost.groupBy("node").agg(F.collect_set("key").alias("lost"))
-    rest = more.union(_short_pairs(short, sets, parts)).distinct()
+
+    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), "segment")
+    lost = _given_up(members, comps).distinct().groupBy("node").agg(F.sum(1 - F.col("segment") % 2).alias("lost0"), F.sum(F.col("segment") % 2).alias("lost1"))
+    # A node short of allowance for empty segments alone, or for what was given up.
+    short = large.where("spare0 < 0 or spare1 < 0").select("node").union(large.join(lost, "node").where("lost0 > spare0 or lost1 > spare1").select("node"))
+    short = materialize(short.distinct(), "short")
+    sets = _fetched(short, table, source)
+    rest = _short_pairs(sets)
     rest = _label(rest.withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b"))
     rest = _label(rest, comps, "rb").where("ra <> rb").select("a", "b")
     rest = materialize(plausible(rest, bits), "rest")
-    found = materialize(verified(rest, sets), "links")
+    found = materialize(verified(rest, sets.join(_ends(rest).distinct(), "node", "left_semi")), "links")
     if not found.isEmpty():
         comps = components(links.union(found))
 

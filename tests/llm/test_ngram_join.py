@@ -60,7 +60,6 @@ def test_against_brute_force(spark):
 
 def test_widespread_keys(spark, monkeypatch):
     monkeypatch.setattr(nj, "STAR", 2)
-    monkeypatch.setattr(nj, "OPEN_PAIRS", 0)
     rows = corpus(2, 160)
     assert result(spark, rows) == brute(rows)
 
