@@ -7,19 +7,17 @@ dropped, archives over budget or with unsafe names are refused.
 
 from __future__ import annotations
 
-import glob
 import io
-import os
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree.ElementTree import iterparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource
 
 from gridloom.functions.cells import COLUMNS, ROWS, address
 from gridloom.operators.safety import zip_directory
+from gridloom.sources.files import FileReader
 
 SCHEMAS = {
     "cell": "workbook_id string, sheet_ix int, row int, col int, t string, num double, str string, bool boolean, err string, formula string, shared_ix int, si string, style_ix int",
@@ -158,22 +156,7 @@ class XlsxSource(DataSource):
         return SCHEMAS[self.options.get("table", "cell")]
 
     def reader(self, schema):
-        return XlsxReader(self.options)
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, options):
-        self.table, self.path = options.get("table", "cell"), re.sub("^file:(//)?", "", options["path"])
-
-    def partitions(self):
-        files = sorted(glob.glob(os.path.join(self.path, "*.xlsx"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition(x) for x in files]
-
-    def read(self, partition):
-        if partition is None or partition.value is None:
-            return
-        with open(partition.value, "rb") as f:
-            yield from getattr(Workbook(f.read(), os.path.basename(partition.value)), f"table_{self.table}")()
+        return FileReader(self.options, "xlsx", self.options.get("table", "cell"), Workbook)
 
 
 def register(spark: SparkSession) -> None:
