@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import safety, windowing
+from gridloom.operators import safety, slides, styles, windowing
 from gridloom.plans.sheets import Sheets, range_of
 
 QUERIES: dict = {}
@@ -168,3 +168,47 @@ def s_url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s_inert_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", safety.inert("html").alias("html"))
+
+
+_VALUE = "(o_orderkey * 40503000077) % 4294967296"
+_SCHEME = (0x332211, 0x00FF00, 0xFFFFFF)
+
+
+def _rgb(x: str) -> str:
+    return f"printf('#%02x%02x%02x', ({x}) & 255, ({x}) >> 8 & 255, ({x}) >> 16 & 255)"
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, {_VALUE} AS v, {list(_SCHEME)}::BIGINT[] AS s FROM orders) SELECT o_orderkey, "
+    f"CASE WHEN v >> 24 = 254 THEN {_rgb('v')} WHEN v >> 24 < 3 THEN {_rgb('s[(v >> 24) + 1]')} ELSE '#222222' END AS of_text, "
+    f"CASE WHEN v & 134217728 <> 0 THEN {_rgb('coalesce(s[(v & 255) + 1], 0)')} WHEN v >> 24 = 0 THEN {_rgb('v')} ELSE 'transparent' END AS of_shape FROM o"
+)
+def t_slide_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, scheme = F.expr(_VALUE), F.array(*[F.lit(x).cast("long") for x in _SCHEME])
+    return table(spark, sf_dir, "orders").select("o_orderkey", slides.text_color(value, scheme).alias("of_text"), slides.shape_color(value, scheme).alias("of_shape"))
+
+
+@query(
+    "WITH p AS (SELECT o_custkey, o_orderkey % 7 AS a, o_orderkey % 7 + 1 + o_orderkey % 5 AS b FROM orders), r AS (SELECT c_custkey, c_nationkey % 6 AS a, c_nationkey % 6 + 4 AS b FROM customer) "
+    "SELECT o_custkey::VARCHAR AS doc_id, greatest(p.a, r.a)::INT AS \"start\", least(p.b, r.b)::INT AS \"end\" FROM p JOIN r ON o_custkey = c_custkey AND r.a < p.b AND r.b > p.a"
+)
+def j_paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as paragraphs of a text, and the customer as its run."""
+    place = [F.lit(0).alias("slide_ix"), F.lit(None).cast("int").alias("shape_ix"), F.lit(0).alias("text_ix")]
+    span = lambda a, b: [F.expr(a).cast("int").alias("start"), F.expr(b).cast("int").alias("end")]
+    paragraphs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), *place, F.lit(0).alias("role"), F.lit(0).alias("level"), *span("o_orderkey % 7", "o_orderkey % 7 + 1 + o_orderkey % 5"))
+    styled = [F.lit(None).cast("int").alias(c) for c in slides.CHARACTER_NAMES]
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), *place, *span("c_nationkey % 6", "c_nationkey % 6 + 4"), *styled)
+    return slides.paragraph_runs(paragraphs, runs).select("doc_id", "start", "end")
+
+
+@query("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS price, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE (o_custkey * 100)::VARCHAR || '%' END AS share FROM orders")
+def t_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", styles.formatted(F.col("o_totalprice"), "#,##0.00").alias("price"), styles.formatted(share, "0%").alias("share"))
+
+
+@query("SELECT p_partkey, floor((256 * p_size + 18) / 256 * 7)::BIGINT AS wide, p_size * 96 / 72 AS high, p_size / 15 AS from_twips FROM part")
+def t_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", styles.column_pixels(size).alias("wide"), styles.point_pixels(size).alias("high"), slides.pixels(size).alias("from_twips"))

@@ -1,6 +1,8 @@
 """XLSX workbooks as tables: ``spark.read.format("xlsx").option("path", ...).option("table", "cell")``.
 
-Tables: cell, sheet, merge, defined_name, shared_string. Each file is one partition; parts are
+Tables: cell, sheet, merge, defined_name, shared_string, column, row, and those of styles: xf,
+base_xf, font, fill, border, num_fmt, theme_color. ``gridloom.operators.styles`` joins these.
+Texts of DOCX and PPTX files are read by ``format("docx")`` and ``format("pptx")``. Each file is one partition; parts are
 read as streams of elements and rows leave as they are found. External relationships are
 dropped, archives over budget or with unsafe names are refused.
 """
@@ -8,6 +10,7 @@ dropped, archives over budget or with unsafe names are refused.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree.ElementTree import iterparse
@@ -19,14 +22,29 @@ from gridloom.functions.cells import COLUMNS, ROWS, address
 from gridloom.operators.safety import zip_directory
 from gridloom.sources.files import FileReader
 
+_COLOR = "rgb string, theme int, indexed int, tint double"
+_XF = "font_ix int, fill_ix int, border_ix int, num_fmt_id int, horizontal string, vertical string, wrap string, shrink string, indent string, rotation string"
 SCHEMAS = {
     "cell": "workbook_id string, sheet_ix int, row int, col int, t string, num double, str string, bool boolean, err string, formula string, shared_ix int, si string, style_ix int",
     "sheet": "workbook_id string, sheet_ix int, name string, state string",
     "merge": "workbook_id string, sheet_ix int, r0 int, c0 int, r1 int, c1 int",
     "defined_name": "workbook_id string, name string, value string, sheet_ix int",
     "shared_string": "workbook_id string, ix int, text string",
+    "column": "workbook_id string, sheet_ix int, first int, last int, chars double, hidden boolean, style_ix int",
+    "row": "workbook_id string, sheet_ix int, row int, points double, hidden boolean, style_ix int",
+    "xf": f"workbook_id string, style_ix int, base_ix int, {_XF}",
+    "base_xf": f"workbook_id string, base_ix int, {_XF}",
+    "font": f"workbook_id string, ix int, bold boolean, italic boolean, strike boolean, underline string, font string, size double, script string, {_COLOR}",
+    "fill": f"workbook_id string, ix int, solid boolean, {_COLOR}",
+    "border": f"workbook_id string, ix int, side string, line string, {_COLOR}",
+    "num_fmt": "workbook_id string, num_fmt_id int, code string",
+    "theme_color": "workbook_id string, theme int, color string",
 }
+TEXTS = {"docx": "doc_id string, part string, paragraph_ix int, text string", "pptx": "doc_id string, slide_ix int, paragraph_ix int, text string"}
 MAX_MERGES = 100_000
+# Names of theme colours by index; words for false; known alignments.
+THEME = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
+FALSE, ALIGNS, VERTICALS = ("0", "false", "off"), ("left", "right", "center", "justify"), {"top": "top", "center": "middle", "bottom": "bottom"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -34,21 +52,52 @@ def _tag(element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-class Workbook:
+def _number(text: str | None, kind=int):
+    try:
+        return None if text is None else kind(text)
+    except ValueError:
+        return None
+
+
+def _child(element, *path: str):
+    """The first descendant by the names of its ancestors below ``element``."""
+    for name in path:
+        element = None if element is None else next((x for x in element if _tag(x) == name), None)
+    return element
+
+
+def _flag(element) -> bool | None:
+    return None if element is None else element.get("val") not in FALSE
+
+
+def _value(element) -> str | None:
+    return None if element is None else element.get("val")
+
+
+def _color(element) -> tuple:
+    if element is None:
+        return None, None, None, None
+    return element.get("rgb"), _number(element.get("theme")), _number(element.get("indexed")), _number(element.get("tint"), float)
+
+
+class Archive:
     def __init__(self, data: bytes, name: str):
         names = [n for n, _ in zip_directory(data, streaming=True)]
         if len(set(names)) < len(names) or any(".." in n.split("/") for n in names):
             raise ValueError("the archive names entries twice or outside itself")
         self.id, self.zip, self.names = name, zipfile.ZipFile(io.BytesIO(data)), set(names)
-        links = {}
-        for element in self.elements("xl/_rels/workbook.xml.rels", "Relationship"):
+
+    def links(self, folder: str, part: str) -> dict[str, str]:
+        """Parts by relationship; external ones are dropped."""
+        out = {}
+        for element in self.elements(f"{folder}/_rels/{part}.rels", "Relationship"):
             if element.get("TargetMode") == "External":
                 continue
             target = element.get("Target", "")
             if ".." in target.split("/"):
                 raise ValueError("a relationship leaves the archive")
-            links[element.get("Id")] = target.lstrip("/") if target.startswith("/") else "xl/" + target
-        self.sheets = [(e.get("name"), e.get("state", "visible"), links.get(e.get(_REL))) for e in self.elements("xl/workbook.xml", "sheet")]
+            out[element.get("Id")] = target.lstrip("/") if target.startswith("/") else f"{folder}/{target}"
+        return out
 
     def elements(self, part: str, *tags: str) -> Iterator:
         """Elements of these names as they end; what was read is freed."""
@@ -79,6 +128,112 @@ class Workbook:
                 out.append(self.text(part))
         return "".join(out)
 
+    def paragraphs(self, part: str) -> Iterator[str]:
+        """Texts of paragraphs, with tabs and breaks; deleted text and field codes are left out."""
+        for element in self.elements(part, "p"):
+            marks = {"tab": "\t", "br": "\n", "cr": "\n"}
+            yield "".join((x.text or "") if _tag(x) == "t" else marks.get(_tag(x), "") for x in _flat(element))
+
+
+def _flat(element) -> Iterator:
+    """Descendants in order; paragraphs inside, deletions, and lists of tab stops are not entered."""
+    for part in element:
+        if _tag(part) not in ("p", "del", "pPr", "rPr"):
+            yield part
+            yield from _flat(part)
+
+
+class WordText(Archive):
+    def table_text(self):
+        notes = [x for x in sorted(self.names) if re.fullmatch(r"word/(header|footer|footnotes|endnotes)\d*\.xml", x)]
+        for part in ["word/document.xml", *notes]:
+            for i, text in enumerate(self.paragraphs(part)):
+                yield self.id, part, i, text
+
+
+class SlideText(Archive):
+    def table_text(self):
+        links = self.links("ppt", "presentation.xml")
+        order = [links.get(e.get(_REL)) for e in self.elements("ppt/presentation.xml", "sldId")]
+        for i, part in enumerate(order):
+            for n, text in enumerate(self.paragraphs(part)):
+                yield self.id, i, n, text
+
+
+class Workbook(Archive):
+    def __init__(self, data: bytes, name: str):
+        super().__init__(data, name)
+        links = self.links("xl", "workbook.xml")
+        self.sheets = [(e.get("name"), e.get("state", "visible"), links.get(e.get(_REL))) for e in self.elements("xl/workbook.xml", "sheet")]
+
+    def table_column(self):
+        for i, (_, _, part) in enumerate(self.sheets):
+            for e in self.elements(part, "col"):
+                yield self.id, i, int(e.get("min")) - 1, int(e.get("max")) - 1, _number(e.get("width"), float), e.get("hidden", "0") not in FALSE, _number(e.get("style"))
+
+    def table_row(self):
+        """Rows with a height, a style of their own, or hidden."""
+        for i, (_, _, part) in enumerate(self.sheets):
+            row = -1
+            for e in self.elements(part, "row"):
+                row = int(e.get("r")) - 1 if e.get("r") else row + 1
+                style = _number(e.get("s")) if e.get("customFormat", "0") not in FALSE else None
+                hidden, points = e.get("hidden", "0") not in FALSE, _number(e.get("ht"), float)
+                if hidden or style is not None or points is not None:
+                    yield self.id, i, row, points, hidden, style
+
+    def style_parts(self, group: str, name: str):
+        for e in self.elements("xl/styles.xml", group):
+            yield from enumerate(x for x in e if _tag(x) == name)
+
+    def xfs(self, group: str):
+        for ix, e in self.style_parts(group, "xf"):
+            align = _child(e, "alignment")
+            get = (lambda n: None) if align is None else align.get
+            ids = [_number(e.get(n)) for n in ("fontId", "fillId", "borderId", "numFmtId")]
+            yield ix, _number(e.get("xfId")), *ids, get("horizontal"), get("vertical"), get("wrapText"), get("shrinkToFit"), get("indent"), get("textRotation")
+
+    def table_xf(self):
+        for row in self.xfs("cellXfs"):
+            yield self.id, *row
+
+    def table_base_xf(self):
+        for ix, _, *rest in self.xfs("cellStyleXfs"):
+            yield self.id, ix, *rest
+
+    def table_font(self):
+        for ix, e in self.style_parts("fonts", "font"):
+            line, name = _child(e, "u"), _value(_child(e, "name"))
+            if line is not None:
+                line = "none" if not _flag(line) else line.get("val") or "single"
+            yield self.id, ix, *(_flag(_child(e, n)) for n in ("b", "i", "strike")), line, name and name[:128], _number(_value(_child(e, "sz")), float), _value(_child(e, "vertAlign")), *_color(_child(e, "color"))
+
+    def table_fill(self):
+        for ix, e in self.style_parts("fills", "fill"):
+            pattern = _child(e, "patternFill")
+            yield self.id, ix, pattern is not None and pattern.get("patternType") == "solid", *_color(_child(e, "patternFill", "fgColor"))
+
+    def table_border(self):
+        for ix, e in self.style_parts("borders", "border"):
+            for side in ("left", "right", "top", "bottom"):
+                edge = _child(e, side)
+                if edge is not None and edge.get("style"):
+                    yield self.id, ix, side, edge.get("style"), *_color(_child(edge, "color"))
+
+    def table_num_fmt(self):
+        for e in self.elements("xl/styles.xml", "numFmts"):
+            for x in e:
+                yield self.id, _number(x.get("numFmtId")), x.get("formatCode")
+
+    def table_theme_color(self):
+        for part in sorted(x for x in self.names if x.startswith("xl/theme/theme"))[:1]:
+            for e in self.elements(part, "clrScheme"):
+                for x in e:
+                    plain, system = _child(x, "srgbClr"), _child(x, "sysClr")
+                    color = plain.get("val") if plain is not None else None if system is None else system.get("lastClr")
+                    if _tag(x) in THEME and color:
+                        yield self.id, THEME.index(_tag(x)), color
+
     def table_sheet(self):
         for i, (name, state, _) in enumerate(self.sheets):
             yield self.id, i, name, state
@@ -147,17 +302,22 @@ class Workbook:
         return self.id, sheet, row, col, t, num, string, flag, err, formula, shared, si, None if style is None else int(style)
 
 
-class XlsxSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
+def _source(short: str, tables: dict[str, str], default: str, opened) -> type[DataSource]:
+    class Office(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return short
+
+        def schema(self) -> str:
+            return tables[self.options.get("table", default)]
 
-    def schema(self) -> str:
-        return SCHEMAS[self.options.get("table", "cell")]
+        def reader(self, schema):
+            return FileReader(self.options, short, self.options.get("table", default), opened)
 
-    def reader(self, schema):
-        return FileReader(self.options, "xlsx", self.options.get("table", "cell"), Workbook)
+    return Office
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxSource)
+    spark.dataSource.register(_source("xlsx", SCHEMAS, "cell", Workbook))
+    spark.dataSource.register(_source("docx", {"text": TEXTS["docx"]}, "text", WordText))
+    spark.dataSource.register(_source("pptx", {"text": TEXTS["pptx"]}, "text", SlideText))
