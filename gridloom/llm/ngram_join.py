@@ -403,7 +403,10 @@ def _short_pairs(sets: DataFrame) -> DataFrame:
     """All pairs of nodes with short allowances that may be linked: they share one of their rarest shingles.
 
     Linked sets share at least 0.75 of either, so in one order of all shingles, here by
-    their frequency in these nodes, they share one among the first 0.25 n + 1 of each.
+    their frequency in these nodes, they share one among the first 0.25 n + 1 of each. All
+    they share is at or after the first such place in either, so what is left there must
+    reach the threshold: this rules out texts that share only a widespread passage, within
+    the join itself.
     """
     from pyspark.sql import Window as W
 
@@ -411,9 +414,10 @@ def _short_pairs(sets: DataFrame) -> DataFrame:
     seen = listed.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     place = W.partitionBy("node").orderBy("f", "s")
     first = listed.join(seen, "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(place))
-    first = materialize(first.where(f"f > 1 and r <= n - ceil(n * {NUM / DEN}) + 1").select("node", "s", "n"), "rarest")
-    other = first.select(F.col("node").alias("b"), "s", F.col("n").alias("nb"))
-    return first.join(other, "s").where(f"node < b and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}").select(F.col("node").alias("a"), "b").distinct()
+    first = materialize(first.where(f"f > 1 and r <= n - ceil(n * {NUM / DEN}) + 1").select("node", "s", "n", "r"), "rarest")
+    other = first.select(F.col("node").alias("b"), "s", F.col("n").alias("nb"), F.col("r").alias("rb"))
+    left = f"(1 + least(n - r, nb - rb)) * {DEN + NUM} >= (n + nb) * {NUM}"
+    return first.join(other, "s").where(f"node < b and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM} and {left}").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _fetched(wanted: DataFrame, table: DataFrame, source: DataFrame) -> DataFrame:
