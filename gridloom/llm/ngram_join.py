@@ -379,10 +379,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long")
 
 
-def _label(nodes: DataFrame, comps: DataFrame, name: str = "root") -> DataFrame:
+def _label(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """``nodes`` with the root of each ``node``: itself where it has no link."""
     found = comps.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    return nodes.join(found, F.col("node") == F.col("_n"), "left").withColumn(name, F.coalesce("_r", "node")).drop("_n", "_r")
+    return nodes.join(found, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "node")).drop("_n", "_r")
 
 
 def _given_up(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -399,8 +399,8 @@ def _listed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(vt.signed(s)), pa.array(np.full(len(s), len(s)))], ["node", "s", "n"])
 
 
-def _short_pairs(sets: DataFrame) -> DataFrame:
-    """All pairs of nodes with short allowances that may be linked: they share one of their rarest shingles.
+def _short_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """All pairs of nodes with short allowances, of different components, that may be linked: they share one of their rarest shingles.
 
     Linked sets share at least 0.75 of either, so in one order of all shingles, here by
     their frequency in these nodes, they share one among the first 0.25 n + 1 of each. All
@@ -414,10 +414,11 @@ def _short_pairs(sets: DataFrame) -> DataFrame:
     seen = listed.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     place = W.partitionBy("node").orderBy("f", "s")
     first = listed.join(seen, "s", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(place))
-    first = materialize(first.where(f"f > 1 and r <= n - ceil(n * {NUM / DEN}) + 1").select("node", "s", "n", "r"), "rarest")
-    other = first.select(F.col("node").alias("b"), "s", F.col("n").alias("nb"), F.col("r").alias("rb"))
+    first = first.where(f"f > 1 and r <= n - ceil(n * {NUM / DEN}) + 1").select("node", "s", "n", "r")
+    first = materialize(_label(first, comps), "rarest")
+    other = first.select(F.col("node").alias("b"), "s", F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("root").alias("other"))
     left = f"(1 + least(n - r, nb - rb)) * {DEN + NUM} >= (n + nb) * {NUM}"
-    return first.join(other, "s").where(f"node < b and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM} and {left}").select(F.col("node").alias("a"), "b").distinct()
+    return first.join(other, "s").where(f"node < b and root <> other and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM} and {left}").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _fetched(wanted: DataFrame, table: DataFrame, source: DataFrame) -> DataFrame:
@@ -460,10 +461,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     short = large.where("spare0 < 0 or spare1 < 0").select("node").union(large.join(lost, "node").where("lost0 > spare0 or lost1 > spare1").select("node"))
     short = materialize(short.distinct(), "short")
     sets = _fetched(short, table, source)
-    rest = _short_pairs(sets)
-    rest = _label(rest.withColumn("node", F.col("a")), comps, "ra").withColumn("node", F.col("b"))
-    rest = _label(rest, comps, "rb").where("ra <> rb").select("a", "b")
-    rest = materialize(plausible(rest, bits), "rest")
+    rest = materialize(plausible(_short_pairs(sets, comps), bits), "rest")
     found = materialize(verified(rest, sets.join(_ends(rest).distinct(), "node", "left_semi")), "links")
     if not found.isEmpty():
         comps = components(links.union(found))
