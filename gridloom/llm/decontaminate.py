@@ -37,8 +37,6 @@ from gridloom.llm.store import documents
 
 STEP = 16
 RANK, OVERSAMPLE = 64, 8
-#: Terms in more than this share of all steps say nothing of a passage's subject; the check still reads them.
-COMMON = 0.02
 COSINE = 0.45
 #: Of the terms of an item's piece, the share that a candidate passage has; a whole piece of 17 words or more always leaves half of itself in one passage.
 SHARED = 0.4
@@ -290,7 +288,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
         seen = np.zeros(len(terms.terms))
         for t, n in counted.items():
             seen[t] = n
-        weight = np.where((seen > 0) & (seen <= max(COMMON * total, 50)), np.log((total + 1) / (seen + 0.5)), 0).clip(0).astype(np.float32)
+        # Positive however common a term is: a benchmark item may itself be what makes its terms common.
+        weight = np.where(seen > 0, np.log1p(total / (seen + 0.5)), 0).astype(np.float32)
         rank = min(RANK + OVERSAMPLE, len(terms.terms))
         w = np.random.default_rng(17).standard_normal((len(terms.terms), rank)).astype(np.float32)
         columns = [f"z{i}" for i in range(rank)]
