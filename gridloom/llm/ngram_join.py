@@ -276,8 +276,8 @@ def _packed_keys(parts: int):
             for _, _, data, offsets in vt.chunks(batch.column(0)):
                 sets, at = shingle_sets(data, offsets)
                 nodes, sizes = nodes_of(sets, at), np.diff(at)
-                # Up to 3 shingles only equal sets are linked, and those are one node.
-                fresh = np.array([s > 3 and x not in seen and not seen.add(x) for x, s in zip(nodes.tolist(), sizes.tolist(), strict=True)], bool)
+                # Up to 2 shingles only equal sets are linked, and those are one node; 3 within 4 reach 3/4.
+                fresh = np.array([s > 2 and x not in seen and not seen.add(x) for x, s in zip(nodes.tolist(), sizes.tolist(), strict=True)], bool)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if not fresh.any():
@@ -449,7 +449,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
     packed = source.select("text").mapInArrow(_packed_keys(parts), "p long, keys binary, refs binary, segments binary, nodes binary, sizes binary")
     matched = materialize(packed.groupBy("p").applyInArrow(_match, _MATCH), "matched")
-    large = table.where("n_shingles > 3")
+    large = table.where("n_shingles > 2")
     bits = materialize(large.groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n")), "bits")
     pairs = materialize(plausible(matched.where("kind = 0").select("a", "b").distinct(), bits), "pairs")
     links = materialize(verified(pairs, _fetched(_ends(pairs).distinct(), table, source)), "links")
