@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from gridloom.llm.store import documents, materialize
+from gridloom.llm.store import documents, materialize, row_key
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +20,27 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id; rows without an id, or alone, stay."""
-    found = ngram_join.ngram_jaccard_join(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # equal ids with equal sets are one document
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group: of the smallest id, null ids last; rows without words stay."""
+    keyed = docs.withColumn("_row", row_key())
+    found = ngram_join.ngram_jaccard_join(keyed.withColumn("doc_id", F.col("_row"))).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).agg(F.count("*").alias("copies"))
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("id"))
+    found = materialize(found.join(ids, "_row"), "groups")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).getField("_row").alias("first"))
+    found = found.join(first, "group")
+    kept = keyed.join(found.where("_row <> first").select("_row"), "_row", "left_anti")
+    # rows equal in id and text are one; only these are brought together
+    repeated = found.where("_row = first and copies > 1").select("_row")
+    once = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(repeated, "_row", "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialize(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_row", row_key())
+    found = decontaminate.contaminated(keyed.withColumn("doc_id", F.col("_row")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = materialize(found.select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return keyed.join(leaks, "_row", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
