@@ -32,8 +32,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 KINDS = ["email", "ip", "card", "phone", "context"]
 ROUNDS, MIN_KNOWN, MIN_CONFIDENCE = 3, 5, 0.8
-#: Characters on either side in which the neighbouring word is looked for.
-REACH = 60
+#: The neighbouring word is looked for in the whole text up to the next token on either side.
+REACH = 2**31 - 1
 
 
 def _digits(value: Column) -> Column:
@@ -52,9 +52,17 @@ def base_spans(text: Column) -> Column:
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and all spans (arrays of s, k, e) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.filter(matches(text, TOKEN, REACH), lambda x: x["v"].contains("@") | (F.length(_digits(x["v"])) >= 5))
-    word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
-    tokens = F.transform(tokens, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), word(x["l"], r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\z").alias("before"), word(x["r"], r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)").alias("after")))
+    word = lambda side, pattern: F.regexp_extract(side, pattern, 1)
+    nearby = lambda side, own, token: F.lower(F.when(side.rlike(r"^[\x20\x09-\x0D]+\z"), F.coalesce(token, F.lit(""))).otherwise(own))
+
+    def around(x, i):
+        before = nearby(x["l"], word(x["l"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z"), F.when(i > 0, F.get("all", i - 1)["v"]))
+        after = nearby(x["r"], word(x["r"], r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)"), F.get("all", i + 1)["v"])
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
+
+    # a neighbour with a digit or an @ is a match itself
+    tokens = F.filter(F.transform("all", around), lambda x: x["v"].contains("@") | (F.length(_digits(x["v"])) >= 5))
+    docs = docs.select("doc_id", F.col("text"), matches(text, TOKEN, REACH).alias("all"))
     found = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), tokens.alias("tokens"))
     seed = lambda x: F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     found = materialize(found.withColumn("tokens", F.transform("tokens", lambda x: x.withField("seed", seed(x)))), "private")
