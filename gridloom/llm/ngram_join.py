@@ -13,18 +13,24 @@ How the work is laid out:
 
 1. One pass hashes the texts: a set's fingerprint is its node, so texts with equal sets are
    one node from there on. A task sends the keys of a node once, however many copies it reads.
-2. Keys travel packed as arrays, dealt over partitions of bounded size, and are matched
-   there by sorting. Keys with few nodes give all their pairs. Keys with many nodes give a
-   star around their smallest node, and their membership is kept, with each node's segment.
-3. Bitmaps of the sets rule out most pairs, exactly. The sets of the other pairs' nodes are
-   fetched, and the pairs are verified on the whole sets.
-4. Components of the verified links join nodes. Keys with many nodes that still hold several
-   components, such as those of widespread passages, are given up, and the allowance of their
-   segments is taken off: a node whose remaining allowance still exceeds its possible
-   differences loses nothing. The others are joined exactly among themselves by their
-   rarest shingles (``_short_pairs``).
-
-No link is lost, and nothing is capped or sampled. Shingles and sets are 64-bit hashes.
+2. Keys travel packed as arrays, dealt over partitions of bounded size, and are matched there
+   by sorting. A key with few nodes gives its pairs. A key with many gives membership rows
+   only; a task that holds many of its nodes itself makes those rows there and sends a few
+   nodes on, so that no key brings more than a few nodes a task together.
+3. Each key with many nodes gives a star around its most central node, the one with most such
+   keys. Bitmaps of the sets rule out most pairs, exactly; the sets of the others are
+   fetched and the pairs are verified on the whole sets. Verified links make components.
+4. Keys with many nodes that still hold several components, such as those of widespread
+   passages, count as given up, and the allowance of their segments is taken off: a node
+   whose remaining allowance still exceeds its possible differences loses nothing. The others
+   get stars again, around the most central node of what each key has outside its last
+   centre's component.
+5. For nodes that are still short the universe is cut to the finest, a segment for each
+   shingle, and allowances go to the cheapest segments (``_short_pairs``): those that fewest
+   of these nodes hold. Only pairs across components are made.
+
+No link is lost, and nothing is capped or sampled. Shingles and sets are 64-bit hashes, and
+links are verified on all 64 bits of every shingle.
 
 Inputs and edge cases: a null text, or one without words, has an empty set and no links; a
 text with 1 to 4 words is one shingle. A null doc_id gets a row; it never becomes a
@@ -50,12 +56,10 @@ from gridloom.llm.store import documents, materialize
 NUM, DEN = 75, 100
 #: Words of a shingle.
 WORDS = 5
-#: Nodes of a key from which it gives a star instead of all pairs.
-STAR = 8
+#: Most nodes of a key that gives all its pairs; one of more gives stars, in up to ``ROUNDS`` rounds.
+STAR, ROUNDS = 8, 4
 #: Keys of a partition, and keys held by a task before it sends them.
-PART_KEYS, FLUSH_KEYS = 2_000_000, 2_000_000
-#: Bytes of a shingle in the sets that are fetched for verification.
-PACKED = 6
+PART_KEYS, FLUSH_KEYS, MEMBER_ROWS = 2_000_000, 2_000_000, 1 << 16
 U = np.uint64
 
 
@@ -90,14 +94,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def pack(sets: np.ndarray) -> bytes:
-    """The leading 48 bits of each shingle; those of two texts of 500 words differ from the whole by chance once in 10 ** 9 pairs."""
-    return np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - PACKED :]).tobytes()
+    return sets.astype("<u8").tobytes()
 
 
 def unpack(raw) -> np.ndarray:
-    out = np.zeros((len(raw) // PACKED, 8), np.uint8)
-    out[:, 8 - PACKED :] = np.frombuffer(raw, np.uint8).reshape(-1, PACKED)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(raw, "<u8")
 
 
 def bitmaps(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -248,12 +249,26 @@ def _sets_by_node(batches):
         for lo, hi, data, offsets in vt.chunks(batch.column(0)):
             sets, at = shingle_sets(data, offsets)
             node = vt.signed(nodes_of(sets, at))
-            raw, where = pack(sets), at * PACKED
+            raw, where = pack(sets), at * 8
             own = np.flatnonzero(node == wanted[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([raw[where[i] : where[i + 1]] for i in own], pa.binary()), batch.column(2).slice(lo, hi - lo).take(pa.array(own))], ["node", "sh", "repeated"])
 
 
+def key_names(keys: np.ndarray, part) -> np.ndarray:
+    """A name for the keys (their lower 32 bits) of a partition."""
+    return vt.mix((keys.astype(U) << U(32)) ^ np.asarray(part).astype(U))
+
+
+_PACKED = "p long, keys binary, refs binary, segments binary, nodes binary, sizes binary, members binary"
+
+
+def _packed(p: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([x], pa.binary()) for x in parts)], [x.split()[0] for x in _PACKED.split(", ")])
+
+
 def _packed_keys(parts: int):
+    """Rows of one partition's keys, and rows of members of keys that have many nodes within the task, dealt evenly."""
+
     def run(batches):
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -262,7 +277,23 @@ def _packed_keys(parts: int):
         def flush():
             keys, nodes, sizes, segments = (np.concatenate(x) for x in zip(*held, strict=True))
             part = (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-            order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+            order = np.lexsort((nodes, keys))
+            key, node = keys[order], nodes[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            order, key = order[new], key[new]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            run = np.diff(np.append(first, len(key)))
+            many = np.repeat(run, run) > STAR
+            if many.any():
+                own = order[many]
+                name = key_names(keys[own].astype(np.uint32), part[own])
+                spread = int(name[0] % U(parts))
+                for a in range(0, len(own), MEMBER_ROWS):
+                    own_, name_ = own[a : a + MEMBER_ROWS], name[a : a + MEMBER_ROWS]
+                    yield _packed((spread + a // MEMBER_ROWS) % parts, *[b""] * 5, nodes[own_].tobytes() + name_.tobytes() + segments[own_].astype(U).tobytes())
+            # of a key with many nodes here, as many go on as show that it has many
+            order = order[np.arange(len(order)) - np.repeat(first, run) <= STAR]
+            order = order[np.argsort(part[order], kind="stable")]
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 own = order[edge[p] : edge[p + 1]]
@@ -270,7 +301,7 @@ def _packed_keys(parts: int):
                     uniq, ref = np.unique(nodes[own], return_inverse=True)
                     size = np.zeros(len(uniq), np.uint32)
                     size[ref] = sizes[own]
-                    yield pa.RecordBatch.from_arrays([pa.array([p]), *(pa.array([x], pa.binary()) for x in (keys[own].astype(np.uint32).tobytes(), narrow(ref), narrow(segments[own]), uniq.tobytes(), size.tobytes()))], ["p", "keys", "refs", "segments", "nodes", "sizes"])
+                    yield _packed(p, keys[own].astype(np.uint32).tobytes(), narrow(ref), narrow(segments[own]), uniq.tobytes(), size.tobytes(), b"")
 
         for batch in batches:
             for _, _, data, offsets in vt.chunks(batch.column(0)):
@@ -305,8 +336,10 @@ _MATCH = "kind int, a long, b long, segment int"
 
 def _match(table: pa.Table) -> pa.Table:
     """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key, twice the node's segment plus the role) of keys with more than STAR nodes."""
-    keys, refs, segments, nodes, sizes, base = [], [], [], [], [], 0
+    keys, refs, segments, nodes, sizes, base = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint32)], 0
+    members = [np.zeros((3, 0), U)]
     for row in range(table.num_rows):
+        members.append(np.frombuffer(table["members"][row].as_buffer(), U).reshape(3, -1))
         n = np.frombuffer(table["nodes"][row].as_buffer(), U)
         keys.append(np.frombuffer(table["keys"][row].as_buffer(), np.uint32))
         refs.append(widened(table["refs"][row].as_buffer(), len(keys[-1])) + base)
@@ -314,32 +347,31 @@ def _match(table: pa.Table) -> pa.Table:
         nodes.append(n)
         sizes.append(np.frombuffer(table["sizes"][row].as_buffer(), np.uint32))
         base += len(n)
-    part = table["p"][0].as_py()
     uniq, first, local = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
     size = np.concatenate(sizes)[first].astype(np.int64)
     both, at = np.unique((np.concatenate(keys).astype(U) << U(32)) | local[np.concatenate(refs)].astype(U), return_index=True)
     segment = np.concatenate(segments)[at]
     key, ref = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     run = np.diff(np.append(start, len(key)))
-    length, begin = np.repeat(run, run), np.repeat(start, run)
-    pairs = []
+    length = np.repeat(run, run)
+    pairs = [(ref[:0], ref[:0])]
     few = length <= STAR
-    for d in range(1, STAR):
-        i = np.flatnonzero(few[: len(key) - d] & (key[: len(key) - d] == key[d:]))
+    for d in range(1, min(STAR, len(key))):
+        i = np.flatnonzero(few[:-d] & (key[:-d] == key[d:]))
         pairs.append((ref[i], ref[i + d]))
-    many = np.flatnonzero(~few)
-    pairs.append((ref[begin[many]], ref[many]))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    ok = (a != b) & (np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM)
-    code = np.unique(a[ok] * len(uniq) + b[ok])
-    a, b = uniq[code // len(uniq)], uniq[code % len(uniq)]
-    name = vt.mix((key[many].astype(U) << U(32)) ^ U(part))
+    ok = np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM
+    code = np.unique(a[ok] * max(1, len(uniq)) + b[ok])
+    a, b = uniq[code // max(1, len(uniq))], uniq[code % max(1, len(uniq))]
+    many = np.flatnonzero(~few)
+    members.append(np.stack([uniq[ref[many]], key_names(key[many], table["p"][0].as_py()), segment[many].astype(U)]))
+    node, name, where = np.concatenate(members, axis=1)
     return pa.table({
-        "kind": pa.array(np.concatenate([np.zeros(len(a), np.int32), np.ones(len(many), np.int32)])),
-        "a": pa.array(vt.signed(np.concatenate([a, uniq[ref[many]]]))),
+        "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(node)])),
+        "a": pa.array(vt.signed(np.concatenate([a, node]))),
         "b": pa.array(vt.signed(np.concatenate([b, name]))),
-        "segment": pa.array(np.concatenate([np.zeros(len(a), np.int32), segment[many].astype(np.int32)])),
+        "segment": pa.array(np.concatenate([np.zeros(len(a), np.int32), where.astype(np.int32)])),
     })
 
 
@@ -385,11 +417,27 @@ def _label(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(found, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "node")).drop("_n", "_r")
 
 
-def _given_up(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of the keys that hold nodes of several components."""
+def _short(nodes: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of ``nodes`` (node, spare0, spare1), those short of allowance: for empty segments alone, or without the keys that hold several components."""
     held = materialize(_label(members, comps), "members")
     several = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    return held.join(several, "key", "left_semi").select("node", "segment")
+    gone = held.join(several, "key", "left_semi").select("node", "segment").distinct()
+    lost = gone.groupBy("node").agg(F.sum(1 - F.col("segment") % 2).alias("lost0"), F.sum(F.col("segment") % 2).alias("lost1"))
+    return nodes.join(lost, "node", "left").where("spare0 < coalesce(lost0, 0) or spare1 < coalesce(lost1, 0)").select("node", "spare0", "spare1")
+
+
+def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the most central member of each key: key, centre; distinct pairs of centres and members). A member's ``degree`` says how central it is."""
+    best = members.groupBy("key").agg(F.max(F.struct("degree", "node")).getField("node").alias("centre"))
+    best = materialize(best, "centres")
+    pairs = members.join(best, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return best, pairs.distinct()
+
+
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs of nodes of different components."""
+    ends = _label(_label(pairs.withColumn("node", F.col("a")), comps).select("a", "b", F.col("root").alias("_ra")).withColumn("node", F.col("b")), comps)
+    return ends.where("_ra <> root").select("a", "b")
 
 
 def _listed(batches):
@@ -400,13 +448,14 @@ def _listed(batches):
 
 
 def _short_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """All pairs of nodes with short allowances, of different components, that may be linked: they share one of their rarest shingles.
-
-    Linked sets share at least 0.75 of either, so in one order of all shingles, here by
-    their frequency in these nodes, they share one among the first 0.25 n + 1 of each. All
-    they share is at or after the first such place in either, so what is left there must
-    reach the threshold: this rules out texts that share only a widespread passage, within
-    the join itself.
+    """All pairs of nodes with short allowances, of different components, that may be linked, by segments of one shingle each.
+
+    Linked sets share at least 0.75 of either, so a set lacks at most 0.25 n of its segments
+    in its partner, and 0.25 n + 1 allowances are enough. They go to the cheapest segments,
+    those that fewest of these nodes hold; as all nodes rank segments alike, linked sets
+    meet in one that both have allotted. All they share is at or after the first such place in
+    either, so what is left there must reach the threshold: this rules out texts that share
+    only a widespread passage, within the join itself.
     """
     from pyspark.sql import Window as W
 
@@ -447,29 +496,50 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
-    packed = source.select("text").mapInArrow(_packed_keys(parts), "p long, keys binary, refs binary, segments binary, nodes binary, sizes binary")
+    packed = source.select("text").mapInArrow(_packed_keys(parts), _PACKED)
     matched = materialize(packed.groupBy("p").applyInArrow(_match, _MATCH), "matched")
-    large = table.where("n_shingles > 2")
-    bits = materialize(large.groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n")), "bits")
-    pairs = materialize(plausible(matched.where("kind = 0").select("a", "b").distinct(), bits), "pairs")
-    links = materialize(verified(pairs, _fetched(_ends(pairs).distinct(), table, source)), "links")
-    comps = components(links)
-
-    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), "segment")
-    lost = _given_up(members, comps).distinct().groupBy("node").agg(F.sum(1 - F.col("segment") % 2).alias("lost0"), F.sum(F.col("segment") % 2).alias("lost1"))
-    # A node short of allowance for empty segments alone, or for what was given up.
-    short = large.where("spare0 < 0 or spare1 < 0").select("node").union(large.join(lost, "node").where("lost0 > spare0 or lost1 > spare1").select("node"))
-    short = materialize(short.distinct(), "short")
-    sets = _fetched(short, table, source)
-    rest = materialize(plausible(_short_pairs(sets, comps), bits), "rest")
-    found = materialize(verified(rest, sets.join(_ends(rest).distinct(), "node", "left_semi")), "links")
+    large = materialize(table.where("n_shingles > 2").groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n"), F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1")), "large")
+    bits = large.select("node", "bits", "n")
+
+    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), "segment").distinct()
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    members = materialize(members.join(degree, "node"), "members")
+    _, pairs = _stars(members)
+    pairs = materialize(plausible(matched.where("kind = 0").select("a", "b").union(pairs).distinct(), bits), "pairs")
+    comps = components(verified(pairs, _fetched(_ends(pairs).distinct(), table, source)))
+
+    short = materialize(_short(large.select("node", "spare0", "spare1"), members, comps), "short")
+    sets = _fetched(short.select("node"), table, source)
+    left, merged = members.join(short, "node", "left_semi"), False
+    for _ in range(ROUNDS):
+        left = materialize(_label(left, comps), "left")
+        best, pairs = _stars(left)
+        pairs = materialize(plausible(_across(pairs, comps), bits), "pairs")
+        found = materialize(verified(pairs, sets), "links")
+        if found.isEmpty():
+            break
+        comps, merged = components(found.union(comps.select("node", "root"))), True
+        # what each key has outside its centre's component
+        at = _label(best.select(F.col("centre").alias("node"), "key"), comps).select("key", F.col("root").alias("past"))
+        left = _label(left.drop("root"), comps).join(at, "key").where("root <> past").drop("root", "past")
+        left = materialize(left, "left")
+        if left.isEmpty():
+            break
+
+    if merged:
+        short = materialize(_short(short, members, comps), "short")
+    rest = materialize(plausible(_short_pairs(sets.join(short, "node", "left_semi"), comps), bits), "rest")
+    found = materialize(verified(rest, sets), "links")
     if not found.isEmpty():
-        comps = components(links.union(found))
-
-    labelled = _label(table, comps)
-    least = labelled.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    least = least.select(F.col("root").alias("_root"), "least")
-    out = labelled.join(least, (F.col("root") == F.col("_root")) & (F.col("n_shingles") > 0), "left")
+        comps = components(found.union(comps.select("node", "root")))
+
+    # Ids meet by node first, then by component: only nodes that have links go on to the second step.
+    own = materialize(table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("own")), "own")
+    linked = comps.select("node", "root").union(comps.select("root", "root").distinct())
+    least = materialize(own.join(linked, "node").groupBy("root").agg(F.min("own").alias("least")), "least")
+    linked = materialize(linked.join(least, "root").select(F.col("node").alias("_n"), "least"), "linked")
+    own = materialize(own.join(linked, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.coalesce("least", "own").alias("least")), "own")
+    out = table.join(own, (F.col("node") == F.col("_n")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("node")).alias("set_id"))
 
 
