@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.cells import rebase
+from gridloom.functions.formula import rebase
 
 # Rows of a page, columns of a window, bounds of a chosen width, default width.
 PAGE_ROWS, WINDOW_COLUMNS, MIN_WIDTH, MAX_WIDTH, WIDTH = 50, 20, 24, 2400, 64

@@ -59,18 +59,40 @@ _total("f_averageif", 'AVERAGEIF({0},"<10",{1})', "lineitem", "l_quantity l_disc
 def f_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     area = f"orders!{range_of(df, 'o_totalprice')}"
-    sheets = Sheets({"orders": df})
-    both = sheets.total(f"AND({area})", "all_set").select("all_set", F.lit(1).alias("k")).join(sheets.total(f"OR({area})", "any_set").select("any_set", F.lit(1).alias("k")), "k")
-    return both.select("all_set", "any_set")
+    both = Sheets({"orders": df}).total(f'AND({area})&"/"&OR({area})', "both")
+    return both.select((F.split("both", "/")[0] == "TRUE").alias("all_set"), (F.split("both", "/")[1] == "TRUE").alias("any_set"))
 
 
-def _rows(name: str, tab: str, key: str, columns: str, sql: str, **formulas: str) -> None:
+def _part(name: str, formula: str, sql: str, **tables: str) -> None:
+    """A formula over bounded ranges; ``tables``: the columns that order the rows of each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sheets = Sheets({t: table(spark, sf_dir, t) for t in tables}, {t: c.split() for t, c in tables.items()}, {"Balance": "customer!D2:D101"})
+        return sheets.total(formula).select(F.round("value", 2).alias("value"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_ORDERED = "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) + 1 AS r FROM orders), c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) + 1 AS r FROM customer)"
+
+
+_part("f_sum_part", "SUM(orders!D3:D102)", f"{_ORDERED} SELECT round(sum(o_totalprice), 2) AS value FROM o WHERE r BETWEEN 3 AND 102", orders="o_orderkey")
+_part("f_sum_block", "SUM(orders!B2:D51,orders!Z2:Z9)-orders!D2", f"{_ORDERED} SELECT round(sum(o_custkey + o_totalprice) - sum(o_totalprice) FILTER (WHERE r = 2), 2) AS value FROM o WHERE r <= 51", orders="o_orderkey")
+_part("f_countif_part", 'COUNTIF(orders!C2:C41,"o")+COUNTIF(orders!A1:B41,">700")', f"{_ORDERED} SELECT (count(*) FILTER (WHERE o_orderstatus = 'O') + count(*) FILTER (WHERE o_orderkey > 700) + count(*) FILTER (WHERE o_custkey > 700))::DOUBLE AS value FROM o WHERE r <= 41", orders="o_orderkey")
+_part("f_sumif_offset", 'SUMIF(orders!C2:C101,"f",orders!D5:D104)', f"{_ORDERED} SELECT round(sum(b.o_totalprice), 2) AS value FROM o a JOIN o b ON b.r = a.r + 3 WHERE a.r <= 101 AND a.o_orderstatus = 'F'", orders="o_orderkey")
+_part("f_averageif_sheets", 'AVERAGEIF(orders!D2:D101,">1000",customer!D2:D101)', f"{_ORDERED} SELECT round(avg(c_acctbal), 2) AS value FROM o JOIN c USING (r) WHERE r <= 101 AND o_totalprice > 1000", orders="o_orderkey", customer="c_custkey")
+_part("f_defined_name", "SUM(Balance)/MAX(orders!D2:D101)", f"{_ORDERED} SELECT round((SELECT sum(c_acctbal) FROM c WHERE r <= 101) / max(o_totalprice), 2) AS value FROM o WHERE r <= 101", orders="o_orderkey", customer="c_custkey")
+_part("f_error_values", "IFERROR(ROUND(SUM(orders!D2:D9)),1)+IFERROR(Nothing,2)+IFERROR(nowhere!A1,4)+COUNT(1/0,8)", "SELECT 8.0::DOUBLE AS value", orders="o_orderkey")
+
+
+def _rows(name: str, tab: str, key: str, columns: str, sql: str, order: str = "", **formulas: str) -> None:
     """Formulas of one row; {0}, {1} ... stand for its cells."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, tab)
         cells = [range_of(df, c).partition(":")[0] for c in columns.split()]
-        made = Sheets({tab: df}).rows(tab, [key], **{n: x.format(*cells) for n, x in formulas.items()})
+        made = Sheets({tab: df}, {tab: order.split()} if order else None).rows(tab, [key], **{n: x.format(*cells) for n, x in formulas.items()})
         return made.select(key, *formulas)
 
     run.__name__ = name
@@ -82,6 +104,12 @@ _rows("f_math", "orders", "o_orderkey", "o_totalprice o_custkey", "SELECT o_orde
 _rows("f_if", "customer", "c_custkey", "c_acctbal c_mktsegment", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'owns' END AS state, lower(c_mktsegment) = 'building' AS builds, NOT (c_acctbal > 100) AS small FROM customer", state='IF({0}<0,"owes","owns")', builds='{1}="Building"', small="NOT({0}>100)")
 _rows("f_iferror", "lineitem", "l_orderkey", "l_extendedprice l_discount", "SELECT l_orderkey, CASE WHEN l_discount = 0 THEN -1 ELSE l_extendedprice / l_discount END AS ratio FROM lineitem", ratio="IFERROR({0}/{1},-1)")
 
+_rows("f_round", "orders", "o_orderkey", "o_totalprice o_custkey", "SELECT o_orderkey, round(o_totalprice * 4) / 4 AS quarter, floor(o_custkey / 10.0::DOUBLE + 0.5) * 10 AS tens FROM orders", quarter="ROUND({0}*4,0)/4", tens="ROUND({1},-1)")
+_rows("f_power", "part", "p_partkey", "p_size p_retailprice", "SELECT p_partkey, p_size::DOUBLE * p_size * p_size AS cube, CASE WHEN p_size % 2 = 0 THEN -1.0 ELSE p_size::DOUBLE END AS odd, NULL::DOUBLE AS none FROM part", cube="POWER({0},3)", odd="IF(MOD({0},2)=0,-1,POWER({0},1))", none="POWER(-8,0.5)")
+_rows("f_true", "nation", "n_nationkey", "n_regionkey n_name", "SELECT n_nationkey, n_regionkey = 1 AS same, true AS yes, false AS no, n_regionkey = 2 AND true AS both FROM nation", same="({0}=1)=TRUE", yes="TRUE()", no="FALSE", both="IF({0}=2,TRUE,FALSE())")
+_rows("f_number_text", "part", "p_partkey", "p_retailprice p_size p_partkey", "SELECT p_partkey, 'x' || (p_size * 1000000)::VARCHAR AS million, (p_size * 1000000000000)::VARCHAR AS long, rtrim('0.0000' || (123456 + p_partkey), '0') AS small FROM part", million='"x"&{1}*10^6', long='{1}*10^12&""', small='(123456+{2})/10^10&""')
+_rows("f_beside", "orders", "o_orderkey", "o_totalprice", "SELECT o_orderkey, round(coalesce(lead(o_totalprice) OVER (ORDER BY o_orderkey), 0) - o_totalprice, 2) AS rise FROM orders", order="o_orderkey", rise="ROUND(D3-{0},2)")
+
 
 @query("WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders) SELECT row::BIGINT AS row, o_orderkey, o_totalprice FROM r WHERE row BETWEEN 50 AND 99")
 def w_window(spark: SparkSession, sf_dir: str) -> DataFrame:
