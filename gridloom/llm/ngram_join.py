@@ -232,26 +232,25 @@ def widened(raw, count: int) -> np.ndarray:
 
 
 def _table_of_sets(batches):
-    """doc_id, node, n_shingles, the segments that a node can spare in either scheme, and its bitmap."""
+    """doc_id, row, node, n_shingles, the segments that a node can spare in either scheme, and its bitmap."""
     for batch in batches:
         text = batch.column(1)
         for lo, hi, data, offsets in vt.chunks(text):
             sets, at = shingle_sets(data, offsets)
             sizes = np.diff(at)
             spare = [pa.array(segment_keys(sets, at, role)[3]) for role in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), *spare, pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "node", "n_shingles", "spare0", "spare1", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), *spare, pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "row", "node", "n_shingles", "spare0", "spare1", "bits"])
 
 
 def _sets_by_node(batches):
-    """(text, node wanted of it, repeated) to (node, its set, repeated)."""
+    """(text, node wanted of it) to (node, its set)."""
     for batch in batches:
         wanted = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in vt.chunks(batch.column(0)):
             sets, at = shingle_sets(data, offsets)
             node = vt.signed(nodes_of(sets, at))
-            raw, where = pack(sets), at * 8
             own = np.flatnonzero(node == wanted[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([raw[where[i] : where[i + 1]] for i in own], pa.binary()), batch.column(2).slice(lo, hi - lo).take(pa.array(own))], ["node", "sh", "repeated"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([pack(sets[at[i] : at[i + 1]]) for i in own], pa.binary())], ["node", "sh"])
 
 
 def key_names(keys: np.ndarray, part) -> np.ndarray:
@@ -471,16 +470,10 @@ def _short_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _fetched(wanted: DataFrame, table: DataFrame, source: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes.
-
-    One document of each is read: that of its smallest id, known by id and node. Rows that
-    agree in both are told apart by nothing, and only their sets are made distinct.
-    """
-    ids = table.join(wanted, "node", "left_semi").groupBy("node", "doc_id").agg((F.count("*") > 1).alias("repeated"))
-    one = ids.groupBy("node").agg(F.min_by(F.struct(F.col("doc_id").alias("one"), "repeated"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("node", "x.*")
-    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("one"))).select("text", "node", "repeated")
-    sets = materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary, repeated boolean"), "fetched")
-    return sets.where("not repeated").select("node", "sh").union(sets.where("repeated").select("node", "sh").dropDuplicates(["node"]))
+    """(node, set) of the wanted nodes, each from one of its rows, found by a hash of id and text; rows equal in both are read alike."""
+    one = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = source.join(materialize(one, "wanted"), "row").select("text", "node")
+    return materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary").dropDuplicates(["node"]), "fetched")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -491,8 +484,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, set_id (equal for equal sets)."""
     spark = docs.sparkSession
     # Equal texts in one task are hashed like any other; only their keys are sent once.
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, node long, n_shingles long, spare0 long, spare1 long, bits binary"), "sets")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
+    table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, row long, node long, n_shingles long, spare0 long, spare1 long, bits binary"), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
