@@ -1,31 +1,40 @@
 """Quality rules with risk-controlled thresholds (operator 7).
 
-Each rule rejects a document when a statistic of its text passes a cutoff. Labelled documents
-are the holdout: nothing is fitted to them but the choice from a fixed grid of cutoffs. For
-each stratum (language), rule and cutoff, an exact binomial test asks whether the share of
-good documents that the cutoff rejects is below ``RISK``: with k of n rejected, P(X <= k) for
-X ~ Bin(n, RISK) must be at most ``LEVEL`` divided by the number of tests (Bonferroni over
-rules, cutoffs and strata). That is the Clopper-Pearson bound, read the other way. Of the
-cutoffs that hold, the one that best separates bad from good is used; where none holds, or
-none separates, the rule is off in that stratum.
+Each rule rejects a document when a statistic of its text passes a cutoff. A stratum (language)
+rejects what any of its rules rejects, and it is this whole verdict whose false rejections are
+bounded. Labelled documents are split by a hash of their id:
+
+1. One half chooses. Per stratum and rule, the cutoff of a fixed grid that best separates bad
+   from good is a candidate, if it gains anything; candidates are ordered by what they gain.
+2. The other half tests. For each leading run of a stratum's candidates, an exact binomial test
+   asks whether the share of good documents that any of them rejects is below ``RISK``: with k
+   of n rejected, P(X <= k) for X ~ Bin(n, RISK) must be at most ``LEVEL`` divided by the number
+   of tests, strata times rules (Bonferroni). That is the Clopper-Pearson bound, read the
+   other way. The longest run that holds is on; with too few labels for any proof, none is.
+
+As the runs are fixed before the second half is looked at, with probability 1 - ``LEVEL`` at
+least, no stratum rejects more than ``RISK`` of its good documents by these rules. The fixed
+base rules (under 10 words, many repeated words) are outside this bound.
 
 Only built-in functions run. A text's statistics are computed inside its row, in one pass,
 and nothing of a text is shuffled. Null texts have no words; a document of fewer than 10 words fails.
 A null language is a stratum. A null doc_id matches no label. Of several labels of an id the
 largest counts, and every document of that id takes it. Repeated rows get equal results. Extra
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result. A document that fails a rule by a
+statistic without a denominator (no words, no lines) fails no rule by it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.store import documents, materialize
 
 RISK, LEVEL = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Bad documents a cutoff must reject, and what a rejected good document costs against a bad one.
+#: Share of bad documents a cutoff must reject, and what a rejected good document costs against a bad one.
 MIN_GAIN, GOOD_COST = 0.01, 4.0
 #: Strata up to which their cutoffs (a few hundred bytes each) are broadcast.
 BROADCAST_STRATA = 2_000
@@ -87,7 +96,8 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     x = F.transform(F.array(text), lambda t: F.transform(F.array(words_of(t)), lambda w: row(t, w))[0])[0]
     row_itself = [F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")] if carry else []
-    out = docs.select(*row_itself, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), x.alias("x"))
+    # a generator of one row: what stands above it takes its columns, and never works a text again
+    out = docs.select(*row_itself, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), F.explode(F.array(x)).alias("x"))
     return out.select(*(["_doc"] if carry else []), "doc_id", "stratum", "x.n_words", "x.word_chars", "x.n_symbols", F.col("x.lines.dup").alias("n_dup_lines"), "x.n_repeat_words", F.col("x.lines.n").alias("n_lines"), "x.n_capitals", "x.n_exclamations")
 
 
@@ -110,31 +120,48 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(first.alias("term"), F.exp(first).alias("sum")), add, lambda acc: F.least(F.lit(1.0), acc["sum"]))
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, good_rejected, bad_rejected, n_bad) of the rules that are on."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    tests = [(rule, i, c) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)]
-    held = stats.join(known, "doc_id")
+def _labelled(labels: DataFrame, label: str) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def candidates(held: DataFrame) -> DataFrame:
+    """(stratum, rule, cutoff, gain, place): per stratum and rule the cutoff that gains most on labelled statistics, in order of gain."""
     good, bad = F.col("label") == 1, F.col("label") != 1
-    counts = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.count_if(good & (_value(rule) > c)).alias("good_rejected"), F.count_if(bad & (_value(rule) > c)).alias("bad_rejected")) for rule, _, c in tests]
-    per = held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad"), F.array(*counts).alias("t"))
-    strata = materialize(per, "strata")
-    number = len(tests) * F.greatest(F.lit(1), F.lit(strata.count()))
-    each = strata.select("stratum", "n_good", "n_bad", F.explode("t").alias("t")).select("stratum", "n_good", "n_bad", "t.*")
-    # more rejected than RISK of all can't pass, and needs no sum
-    safe = F.when(F.col("good_rejected") <= risk * F.col("n_good"), binomial_at_most(F.col("good_rejected"), F.col("n_good"), risk) <= level / number).otherwise(False)
+    counts = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.count_if(good & (_value(rule) > c)).alias("good_rejected"), F.count_if(bad & (_value(rule) > c)).alias("bad_rejected")) for rule, (_, grid) in RULES.items() for c in grid]
+    each = held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad"), F.array(*counts).alias("t")).select("stratum", "n_good", "n_bad", F.explode("t").alias("t")).select("stratum", "n_good", "n_bad", "t.*")
     gain = F.col("bad_rejected") / F.greatest("n_bad", F.lit(1)) - GOOD_COST * F.col("good_rejected") / F.greatest("n_good", F.lit(1))
-    on = each.where(safe & (F.col("n_good") > 0)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    best = on.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff", "n_good", "good_rejected", "bad_rejected", "n_bad")).alias("b"))
-    return best.select("stratum", "rule", "b.cutoff", "b.n_good", "b.good_rejected", "b.bad_rejected", "b.n_bad")
+    best = each.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN).groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
+    return best.select("stratum", "rule", "b.cutoff", "b.gain", F.row_number().over(W.partitionBy("stratum").orderBy(F.desc("b.gain"), "rule")).alias("place"))
+
+
+def _cut(chosen: DataFrame, value: str) -> DataFrame:
+    """(stratum, cut): a map from rules to ``value``; broadcast up to ``BROADCAST_STRATA`` strata."""
+    chosen = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", value))).alias("cut"))
+    return F.broadcast(chosen) if chosen.count() <= BROADCAST_STRATA else chosen
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, rule, cutoff, place, n_good, run_rejected) of the rules that are on; ``run_rejected``: good documents of the tests that this rule or one before it rejects."""
+    held = stats.join(_labelled(labels, label), "doc_id").withColumn("chooses", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    held = materialize(held, "held")
+    number = len(RULES) * max(1, held.select("stratum").distinct().count())
+    chosen = materialize(candidates(held.where("chooses")), "candidates")
+    tested = held.where("not chooses and label = 1").join(_cut(chosen.withColumn("at", F.struct("cutoff", "place")), "at"), "stratum")
+    at = lambda rule: F.try_element_at("cut", F.lit(rule))
+    first = F.least(*[F.when(_value(rule) > at(rule)["cutoff"], at(rule)["place"]) for rule in RULES])
+    per = tested.select("stratum", first.alias("first")).groupBy("stratum").agg(F.count("*").alias("n_good"), F.array(*[F.count_if(F.col("first") <= i) for i in range(1, len(RULES) + 1)]).alias("rejected"))
+    run = chosen.join(per, "stratum").select("stratum", "rule", "cutoff", "place", "n_good", F.element_at("rejected", F.col("place")).alias("run_rejected"))
+    # more rejected than RISK of all can't pass, and needs no sum
+    safe = F.when(F.col("run_rejected") <= risk * F.col("n_good"), binomial_at_most(F.col("run_rejected"), F.col("n_good"), risk) <= level / number).otherwise(False)
+    run = run.withColumn("safe", safe)
+    longest = run.where("safe").groupBy("stratum").agg(F.max("place").alias("longest"))
+    return run.join(longest, "stratum").where("place <= longest").drop("safe", "longest")
 
 
 def judged(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     """``stats`` with base_failed, failed_rules (names) and kept, by the rules that are on."""
-    chosen = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
-    if chosen.count() <= BROADCAST_STRATA:
-        chosen = F.broadcast(chosen)
-    out = stats.join(chosen, "stratum", "left")
+    out = stats.join(_cut(chosen, "cutoff"), "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(_value(rule) > F.try_element_at("cut", F.lit(rule)), F.lit(rule)) for rule in RULES]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", base).withColumn("failed_rules", failed).drop("cut")
@@ -146,9 +173,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     return judged(stats, materialize(cutoffs(stats, labels, **how), "cutoffs"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Each row is judged where it is read; no text is shuffled."""
-    chosen = materialize(cutoffs(materialize(statistics(docs), "statistics"), labels, **how), "cutoffs")
+def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. Statistics for the cutoffs are those of labelled rows; each row is judged where it is read, and no text is shuffled."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    some = statistics(ids.join(_labelled(labels, label).select("doc_id"), "doc_id", "left_semi"))
+    chosen = materialize(cutoffs(some, labels, label, **how), "cutoffs")
     return judged(statistics(docs, carry=True), chosen).where("kept").select("_doc.*")
 
 
