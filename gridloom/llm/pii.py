@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.secrets import digest
-from gridloom.llm.spans import kinds, matches
+from gridloom.llm.spans import kinds, matches, overlapping
 from gridloom.llm.store import documents, materialize, row_key
 
 #: Fixed patterns of the base kinds. Possessive parts and the look-behinds change no match (a match may
@@ -32,8 +32,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 KINDS = ["email", "ip", "card", "phone", "context"]
 ROUNDS, MIN_KNOWN, MIN_CONFIDENCE = 3, 5, 0.8
-#: The neighbouring word is looked for in the whole text up to the next token on either side.
-REACH = 2**31 - 1
 
 
 def _digits(value: Column) -> Column:
@@ -62,10 +60,10 @@ def private_spans(docs: DataFrame) -> DataFrame:
 
     # a neighbour with a digit or an @ is a match itself
     tokens = F.filter(F.transform("all", around), lambda x: x["v"].contains("@") | (F.length(_digits(x["v"])) >= 5))
-    docs = docs.select("doc_id", F.col("text"), matches(text, TOKEN, REACH).alias("all"))
+    docs = docs.select("doc_id", F.col("text"), matches(text, TOKEN, context=True).alias("all"))
     found = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), tokens.alias("tokens"))
-    seed = lambda x: F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    found = materialize(found.withColumn("tokens", F.transform("tokens", lambda x: x.withField("seed", seed(x)))), "private")
+    seeds = F.transform(F.array(overlapping(F.col("tokens"), F.col("base"))), lambda c: F.transform("tokens", lambda x, i: x.withField("seed", F.get(c, i))))[0]
+    found = materialize(found.withColumn("tokens", seeds), "private")
 
     each = found.select("row", F.explode("tokens").alias("x")).select("row", "x.s", "x.e", F.xxhash64("x.v").alias("v"), "x.seed", F.explode(F.array(F.concat(F.lit("<"), "x.before"), F.concat(F.lit(">"), "x.after"))).alias("p")).where("length(p) > 1")
     graph = materialize(each.groupBy("p", "v").agg(F.max("seed").alias("seed")), "graph")

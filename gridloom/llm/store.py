@@ -48,6 +48,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_key():
-    """A key for joining derived rows back: rows equal in doc_id and text share it and get equal results."""
+def row_hash():
+    """A 64-bit hash of a row's doc_id and text."""
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
+
+
+def row_key():
+    """A key of 128 bits for joining derived rows back: rows equal in doc_id and text share it and get equal results."""
+    return F.struct(row_hash().alias("a"), F.xxhash64(F.lit("second"), F.coalesce(F.col("text"), F.lit("")), F.col("doc_id")).alias("b"))
