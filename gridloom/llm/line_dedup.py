@@ -47,17 +47,20 @@ def widespread(lines: DataFrame, sites: int = MIN_SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_lines`` (lines with a word) and ``n_removed``."""
-    lined = docs.select(row_key().alias("_row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where("h is not null")
+    """``docs`` with ``clean_text``, ``n_lines`` (lines with a word) and ``n_removed``, which replace columns of these names."""
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"), F.col("text").alias("text"))
+    lined = docs.select(row_key().alias("row"), F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("site"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where("h is not null")
     lined = materialize(lined, "lines")
-    common = widespread(lined.select("h", "site"), sites)
+    common = materialize(widespread(lined.select("h", "site"), sites), "common")
     # equal rows share a key: their places come once
-    hit = lined.join(common, "h").groupBy("_row", "at").agg(F.lit(1).alias("one")).groupBy("_row").agg(F.sort_array(F.collect_list("at")).alias("_at"))
-    out = docs.withColumn("_row", row_key()).join(hit, "_row", "left")
-    gone = F.coalesce("_at", F.array().cast("array<int>"))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    hit = lined.join(common, "h").groupBy("row", "at").agg(F.lit(1).alias("one")).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    out = carried.join(materialize(hit, "hit"), "row", "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    left = F.transform(F.array(_lines(F.col("text"))), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)))[0]
+    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
-    return out.select(*[F.col(c) for c in docs.columns], kept.alias("clean_text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+    new = {"clean_text": kept, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long"), "n_removed": F.size(gone).cast("long")}
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ the exact budget, the last document in part.
 A size is the number of words; null or empty texts have size 0. Null sources are a source.
 Documents of a null id are keyed by their text alone. Repeated rows are separate documents of
 one key, in any order, which changes no row's result beyond which of the equals is cut. Extra
-columns are ignored; an empty table gives an empty result.
+columns are kept, whatever their names, but for those of the results, which are replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from gridloom.llm.store import documents, materialize
 WEIGHTS, TOTAL, CAP = (5, 2, 1), 1.5, 2
 #: Leading hexadecimal digits of the key that make a range.
 RANGE_DIGITS = 3
+RESULTS = ["size", "source_size", "target", "taken", "epochs"]
 
 
 def word_count(text):
@@ -51,27 +53,39 @@ def targets(sizes: DataFrame) -> DataFrame:
     return first.select("source", "source_size", F.when(capped, CAP * F.col("size")).otherwise(share).alias("target"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, source, more) with ``size``, ``source_size``, ``target``, ``taken``, ``epochs``.
-
-    ``taken``: words the mix takes of the row, repeats counted; ``epochs``: the times it is taken, the last perhaps in part.
-    """
+def _mixed(docs: DataFrame) -> DataFrame:
+    """``doc`` (the row itself as a struct), size, source_size, target, taken, epochs."""
     key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
-    ranges = materialize(sized.groupBy("source", "_range").agg(F.sum("size").alias("range_size")), "ranges")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    sized = docs.select(doc, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    ranges = materialize(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
     # at most 16 ** RANGE_DIGITS rows of a source come together here, whatever its documents
-    before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    start = ranges.withColumn("_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    budget = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))).withColumnRenamed("source", "_source")
-    start = start.join(budget, start["source"].eqNullSafe(F.col("_source"))).select(F.col("source").alias("_source"), F.col("_range").alias("_r"), "_start", "source_size", "target")
-    inside = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    out = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(start, out["source"].eqNullSafe(F.col("_source")) & (out["_range"] == F.col("_r")))
+    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    start = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    budget = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))).withColumnRenamed("source", "of")
+    start = start.join(budget, start["source"].eqNullSafe(F.col("of"))).select("of", F.col("range").alias("r"), "start", "source_size", "target")
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    out = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = out.join(start, out["source"].eqNullSafe(F.col("of")) & (out["range"] == F.col("r")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
-    part = F.least("size", F.greatest(F.lit(0).cast("long"), rest - F.col("_start") - F.col("_inside")))
+    part = F.least("size", F.greatest(F.lit(0).cast("long"), rest - F.col("start") - F.col("inside")))
     out = out.withColumn("taken", whole * F.col("size") + part).withColumn("epochs", whole + F.when(part > 0, 1).otherwise(0))
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "epochs")
+    return out.select("doc", *RESULTS)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, source, more) with ``size``, ``source_size``, ``target``, ``taken``, ``epochs``, which replace columns of these names.
+
+    ``taken``: words the mix takes of the row, repeats counted; ``epochs``: the times it is taken, the last perhaps in part.
+    """
+    return _mixed(docs).select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns alone, each as often as the mix takes it."""
+    out = _mixed(docs).where("epochs > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch"))
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
