@@ -65,7 +65,7 @@ def test_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-        assert decontaminate.common_subsequence(a, b) == table[-1, -1]
+        assert decontaminate.common_subsequence(decontaminate.places(a), len(a), b) == table[-1, -1]
 
 
 def test_classifier_held_out(spark):
@@ -108,22 +108,3 @@ def test_sharding(spark):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % sharding.SLOTS
         assert (r["slot"], r["shard"]) == (slot, table[slot])
     assert len(out) == 5
-
-
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    from gridloom.llm import mixing, ngram_join, quality_rules
-
-    sf = "/root/testdata/sf0.001"
-    docs = corpus_pipeline.documents(spark, sf)
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    kept = {r[0] for r in quality_rules.quality_rules(docs, labels).where("kept").select("doc_id").collect()}
-    left = docs.where(docs.doc_id.isin(kept))
-    kept = {r[0] for r in ngram_join.ngram_jaccard_join(left).where("doc_id = component_id").collect()}
-    left = docs.where(docs.doc_id.isin(kept))
-    kept -= {r[0] for r in decontaminate.contaminated(left, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    left = docs.where(docs.doc_id.isin(kept))
-    want = sorted(r[0] for r in mixing.mixed(left).collect() for _ in range(r["epochs"]))
-    out = corpus_pipeline.run(spark, sf)
-    assert out.columns == [*docs.columns, "slot", "shard"]
-    assert sorted(r[0] for r in out.collect()) == want
