@@ -3,7 +3,8 @@
 Texts are cut into pre-tokens. Pre-tokens not yet known to the task are held together as one
 ragged array of symbols; in each round, every sequence merges all places of its own
 lowest-ranked pair, all sequences at once, until none has a ranked pair. The symbols that
-survive are the tokens. Counts are kept for later texts of the task, in a table of bounded size.
+survive are the tokens. A pre-token of over ``LONG`` bytes is merged by itself in the same rounds,
+each at the cost of its merges. Counts are kept for later texts of the task, in a table of bounded size.
 
 Counts equal those of the ``tokenizers`` library for a byte-level BPE file: no begin, end or
 added tokens, no truncation or padding; the added tokens' strings inside a text are one token
@@ -14,6 +15,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -32,6 +34,8 @@ _PIECE = "'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}
 #: Texts of these characters are cut here; others by the library's own pre-tokenizer, whose tables of letters may be of another age.
 _PLAIN = "[\\x00-\\u036f\\u2000-\\u206f\\u20a0-\\u20bf]*"
 KNOWN, BATCH = 400_000, 1 << 19
+#: Bytes of a pre-token from which it is merged by itself.
+LONG = 2048
 NONE = np.int64(1) << 40
 
 
@@ -75,10 +79,10 @@ class Merger:
     def counts(self, pieces: list) -> np.ndarray:
         """Symbols that survive in each pre-token."""
         raw = [x if isinstance(x, bytes) else x.encode() for x in pieces]
-        lengths = np.array([len(x) for x in raw], np.int64)
-        symbol = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        out = np.array([len(x) if len(x) <= LONG else self.long_count(x) for x in raw], np.int64)
+        lengths = np.array([len(x) if len(x) <= LONG else 0 for x in raw], np.int64)
+        symbol = self.byte[np.frombuffer(b"".join(x for x in raw if len(x) <= LONG), np.uint8)]
         owner = np.repeat(np.arange(len(raw)), lengths)
-        out = lengths.copy()
         while len(symbol) > 1:
             pair = symbol[:-1] * self.width + symbol[1:]
             at = np.searchsorted(self.key, pair)
@@ -100,10 +104,69 @@ class Merger:
             place = place[nth % 2 == 0]
             symbol[place] = self.by_rank[rank[place]]
             out -= np.bincount(owner[place], minlength=len(out))
+            # sequences without a ranked pair are done
             live[place + 1] = False
             symbol, owner = symbol[live], owner[live]
         return out
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; ``NONE`` for those that never merge and at the end, where ``right`` is under 0."""
+        pair = left * self.width + right
+        at = np.searchsorted(self.key, pair)
+        at[at == len(self.key)] = 0
+        return np.where((self.key[at] == pair) & (right >= 0), self.rank[at], NONE)
+
+    def long_count(self, raw: bytes) -> int:
+        """Symbols that survive in one very long pre-token. Its lowest-ranked pairs merge together too, but a round costs what it merges, not the length.
+
+        Places are linked to their neighbours. Places wait by the rank of their pair, and a heap has the ranks.
+        """
+        n = len(raw)
+        symbol = np.append(self.byte[np.frombuffer(raw, np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n], before[0] = n, n
+        rank = np.append(self.ranks(symbol[:-1], symbol[1:]), NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NONE]
+            if not len(places):
+                return
+            places = places[np.argsort(rank[places], kind="stable")]
+            of = rank[places]
+            edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True):
+                own = int(of[a])
+                if own not in waiting:
+                    waiting[own] = []
+                    heapq.heappush(heap, own)
+                waiting[own].append(places[a:b])
+
+        wait(np.arange(n))
+        left = n
+        while heap:
+            least = heapq.heappop(heap)
+            place = np.unique(np.concatenate(waiting.pop(least)))
+            place = place[rank[place] == least]
+            if not len(place):
+                continue
+            # of places that overlap (a a a), every other one counts, from the left
+            start = np.flatnonzero(np.concatenate([[True], place[1:] != after[place[:-1]]]))
+            nth = np.arange(len(place)) - np.repeat(start, np.diff(np.append(start, len(place))))
+            place = place[nth % 2 == 0]
+            gone = after[place]
+            symbol[place] = self.by_rank[least]
+            rank[gone] = NONE
+            after[place] = after[gone]
+            before[after[place]] = place
+            left -= len(place)
+            changed = np.unique(np.concatenate([place, before[place]]))
+            changed = changed[changed < n]
+            rank[changed] = self.ranks(symbol[changed], symbol[after[changed]])
+            wait(changed)
+        return left
+
     def count(self, texts: list[str]) -> list[int]:
         cut, extra = [], []
         for text in texts:

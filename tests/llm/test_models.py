@@ -26,6 +26,25 @@ def test_tokens_equal_the_library(spark):
     assert token_count.token_counts(docs.limit(0), PATH).collect() == []
 
 
+def test_long_pre_tokens(monkeypatch):
+    import time
+
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(PATH), random.Random(12)
+    want = lambda t: len(library.encode(t, add_special_tokens=False))
+    merger = token_count.Merger(PATH)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aaab", "theranios", "=-", "é日本ßx") for n in (1, 2, 3, 50, 700)]
+    texts += ["a" * n for n in range(1, 40)] + ["the" * 400]
+    monkeypatch.setattr(token_count, "LONG", 0)
+    assert [merger.count([t])[0] for t in texts] == [want(t) for t in texts]
+    monkeypatch.undo()
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "a" * 300_000, "ab" * 150_000):
+        began = time.perf_counter()
+        assert merger.count([text]) == [want(text)]
+        assert time.perf_counter() - began < 30
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 3, 4, 5]))) for _ in range(n))
 
