@@ -3,9 +3,13 @@
 Sources take weights in turn, in code-point order, null last. Their targets share a multiple
 of all sizes by weight, none above ``CAP`` times its source's size, what is above being shared
 again by weight. Every document has a hash-random key; within its source, documents are cut
-into ranges of keys, prefix sums of sizes run over the ranges and then inside each, and the
-source is taken in that order: whole epochs as often as its target holds its size, then up to
-the exact budget, the last document in part.
+into ranges of keys, prefix sums of sizes run over the ranges, and the source is taken in that
+order: whole epochs as often as its target holds its size, then up to the exact budget, the
+last document in part.
+
+The budget ends within one range of a source, its cut. Rows of ranges before and after it are
+decided where they are read, against a table of one row a source; only the rows of the cuts, one
+in ``16 ** RANGE_DIGITS``, are sorted, and prefix sums run over them. No other text moves.
 
 A size is the number of words; null or empty texts have size 0. Null sources are a source.
 Documents of a null id are keyed by their text alone. Repeated rows are separate documents of
@@ -25,6 +29,8 @@ from gridloom.llm.store import documents, materialize
 WEIGHTS, TOTAL, CAP = (5, 2, 1), 1.5, 2
 #: Leading hexadecimal digits of the key that make a range.
 RANGE_DIGITS = 3
+#: Sources up to which their table, of under 100 bytes a source, is broadcast; with more it is joined by source.
+BROADCAST_SOURCES = 100_000
 RESULTS = ["size", "source_size", "target", "taken", "epochs"]
 
 
@@ -53,25 +59,39 @@ def targets(sizes: DataFrame) -> DataFrame:
     return first.select("source", "source_size", F.when(capped, CAP * F.col("size")).otherwise(share).alias("target"))
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
-    """``doc`` (the row itself as a struct), size, source_size, target, taken, epochs."""
-    key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    sized = docs.select(doc, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+def _cuts(sized: DataFrame) -> DataFrame:
+    """(of, source_size, target, whole, rest, cut, start): per source its epochs, the words left for the last, the range in which they end, and those before it."""
     ranges = materialize(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
     # at most 16 ** RANGE_DIGITS rows of a source come together here, whatever its documents
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    start = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
+    order = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
+    upto = ranges.withColumn("upto", F.sum("range_size").over(order))
     budget = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))).withColumnRenamed("source", "of")
-    start = start.join(budget, start["source"].eqNullSafe(F.col("of"))).select("of", F.col("range").alias("r"), "start", "source_size", "target")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    out = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(start, out["source"].eqNullSafe(F.col("of")) & (out["range"] == F.col("r")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
-    part = F.least("size", F.greatest(F.lit(0).cast("long"), rest - F.col("start") - F.col("inside")))
-    out = out.withColumn("taken", whole * F.col("size") + part).withColumn("epochs", whole + F.when(part > 0, 1).otherwise(0))
-    return out.select("doc", *RESULTS)
+    budget = budget.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
+    budget = materialize(budget, "budget")
+    ends = upto.join(budget.select("of", "rest"), upto["source"].eqNullSafe(F.col("of"))).where("upto > rest").groupBy("of").agg(F.min(F.struct("range", (F.col("upto") - F.col("range_size")).alias("start"))).alias("cut"))
+    ends = ends.select(F.col("of").alias("ended"), "cut.range", "cut.start")
+    return materialize(budget.join(ends, F.col("of").eqNullSafe(F.col("ended")), "left").select("of", "source_size", "target", "whole", "rest", F.col("range").alias("cut"), "start"), "cuts")
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """``doc`` (the row itself as a struct), size, source_size, target, taken, epochs."""
+    key = F.md5(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(doc, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    size = word_count(F.col("doc.text"))
+    cuts = _cuts(keyed.select("source", "range", size.alias("size")))
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("of")))
+    at_cut = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
+    # words are counted after the choice of rows
+    sure = out.where(~at_cut).withColumn("size", size).withColumn("part", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    inside = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("start") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    cut = out.where(at_cut).withColumn("size", size).withColumn("part", F.least("size", F.greatest(F.lit(0).cast("long"), left)))
+    out = sure.unionByName(cut).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
+    return out.withColumn("epochs", F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).select("doc", *RESULTS)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
