@@ -38,6 +38,8 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 MIN_GAIN, GOOD_COST = 0.01, 4.0
 #: Strata up to which their cutoffs (a few hundred bytes each) are broadcast.
 BROADCAST_STRATA = 2_000
+#: Labelled ids (8 bytes each) up to which they are broadcast.
+BROADCAST_LABELS = 1_000_000
 
 #: Statistics of a row (n_words, word_chars, n_symbols, ... are its columns) and the grid of cutoffs for each.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -174,9 +176,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Statistics for the cutoffs are those of labelled rows; each row is judged where it is read, and no text is shuffled."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    some = statistics(ids.join(_labelled(labels, label).select("doc_id"), "doc_id", "left_semi"))
+    """The rows of ``docs`` that are kept, with their columns. Each row is judged where it is read, and no text is shuffled.
+
+    The cutoffs need the statistics of labelled rows: up to ``BROADCAST_LABELS`` ids these are found
+    by a broadcast; beyond, all rows are measured, and their statistics meet the labels.
+    """
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    known = materialize(_labelled(labels, label).select("doc_id"), "known")
+    if known.count() <= BROADCAST_LABELS:
+        some = some.join(F.broadcast(known), "doc_id", "left_semi")
+    some = statistics(some)
     chosen = materialize(cutoffs(some, labels, label, **how), "cutoffs")
     return judged(statistics(docs, carry=True), chosen).where("kept").select("_doc.*")
 
