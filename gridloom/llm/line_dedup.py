@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import documents, materialize, row_key
+from gridloom.llm.store import documents, materialize, row_key, scratch
 
 MIN_SITES = 5
 #: Sketch size as a power of two, and standard errors that count as near.
@@ -49,12 +49,14 @@ def widespread(lines: DataFrame, sites: int = MIN_SITES) -> DataFrame:
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines`` (lines with a word) and ``n_removed``, which replace columns of these names."""
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key().alias("row"), F.col("text").alias("text"))
-    lined = docs.select(row_key().alias("row"), F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("site"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where("h is not null")
-    lined = materialize(lined, "lines")
-    common = materialize(widespread(lined.select("h", "site"), sites), "common")
-    # equal rows share a key: their places come once
-    hit = lined.join(common, "h").groupBy("row", "at").agg(F.lit(1).alias("one")).groupBy("row").agg(F.collect_list("at").alias("gone"))
-    out = carried.join(materialize(hit, "hit"), "row", "left")
+    with scratch(docs.sparkSession):
+        lined = docs.select(row_key().alias("row"), F.coalesce(F.col(f"`{site}`").cast("string"), F.lit("")).alias("site"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where("h is not null")
+        lined = materialize(lined, "lines")
+        common = materialize(widespread(lined.select("h", "site"), sites), "common")
+        # equal rows share a key: their places come once
+        hit = lined.join(common, "h").groupBy("row", "at").agg(F.lit(1).alias("one")).groupBy("row").agg(F.collect_list("at").alias("gone"))
+        hit = materialize(hit, "hit", keep=True)
+    out = carried.join(hit, "row", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.transform(F.array(_lines(F.col("text"))), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)))[0]
     kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(left, "\n"))

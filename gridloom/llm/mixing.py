@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import documents, materialize
+from gridloom.llm.store import documents, materialize, scratch
 
 WEIGHTS, TOTAL, CAP = (5, 2, 1), 1.5, 2
 #: Leading hexadecimal digits of the key that make a range.
@@ -71,7 +71,7 @@ def _cuts(sized: DataFrame) -> DataFrame:
     budget = materialize(budget, "budget")
     ends = upto.join(budget.select("of", "rest"), upto["source"].eqNullSafe(F.col("of"))).where("upto > rest").groupBy("of").agg(F.min(F.struct("range", (F.col("upto") - F.col("range_size")).alias("start"))).alias("cut"))
     ends = ends.select(F.col("of").alias("ended"), "cut.range", "cut.start")
-    return materialize(budget.join(ends, F.col("of").eqNullSafe(F.col("ended")), "left").select("of", "source_size", "target", "whole", "rest", F.col("range").alias("cut"), "start"), "cuts")
+    return materialize(budget.join(ends, F.col("of").eqNullSafe(F.col("ended")), "left").select("of", "source_size", "target", "whole", "rest", F.col("range").alias("cut"), "start"), "cuts", keep=True)
 
 
 def _mixed(docs: DataFrame) -> DataFrame:
@@ -80,7 +80,8 @@ def _mixed(docs: DataFrame) -> DataFrame:
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     keyed = docs.select(doc, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     size = word_count(F.col("doc.text"))
-    cuts = _cuts(keyed.select("source", "range", size.alias("size")))
+    with scratch(docs.sparkSession):
+        cuts = _cuts(keyed.select("source", "range", size.alias("size")))
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("of")))

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import vectext as vt
 from gridloom.llm.graph import components
-from gridloom.llm.store import documents, materialize
+from gridloom.llm.store import documents, materialize, scratch
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 75, 100
@@ -482,6 +482,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, set_id (equal for equal sets)."""
+    with scratch(docs.sparkSession):
+        table, least = _joined(docs)
+    out = table.join(least, (F.col("node") == F.col("_n")) & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("node")).alias("set_id"))
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles of each row; the least doc_id of each node's component)."""
     spark = docs.sparkSession
     # Equal texts in one task are hashed like any other; only their keys are sent once.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
@@ -531,9 +539,8 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     linked = comps.select("node", "root").union(comps.select("root", "root").distinct())
     least = materialize(own.join(linked, "node").groupBy("root").agg(F.min("own").alias("least")), "least")
     linked = materialize(linked.join(least, "root").select(F.col("node").alias("_n"), "least"), "linked")
-    own = materialize(own.join(linked, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.coalesce("least", "own").alias("least")), "own")
-    out = table.join(own, (F.col("node") == F.col("_n")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("node")).alias("set_id"))
+    own = own.join(linked, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("_n"), F.coalesce("least", "own").alias("least"))
+    return materialize(table.select("doc_id", "node", "n_shingles"), "result", keep=True), materialize(own, "result", keep=True)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

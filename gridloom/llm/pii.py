@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.secrets import digest
 from gridloom.llm.spans import kinds, matches, overlapping
-from gridloom.llm.store import documents, materialize, row_key
+from gridloom.llm.store import documents, materialize, row_key, scratch
 
 #: Fixed patterns of the base kinds. Possessive parts and the look-behinds change no match (a match may
 #: begin inside a run only where the last one ended); they keep very long runs linear.
@@ -49,6 +49,11 @@ def base_spans(text: Column) -> Column:
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and all spans (arrays of s, k, e) of each row."""
+    with scratch(docs.sparkSession):
+        return materialize(_private_spans(docs), "spans", keep=True)
+
+
+def _private_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     word = lambda side, pattern: F.regexp_extract(side, pattern, 1)
     nearby = lambda side, own, token: F.lower(F.when(side.rlike(r"^[\x20\x09-\x0D]+\z"), F.coalesce(token, F.lit(""))).otherwise(own))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import documents, materialize
+from gridloom.llm.store import documents, materialize, scratch
 
 RISK, LEVEL = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -145,6 +145,11 @@ def _cut(chosen: DataFrame, value: str) -> DataFrame:
 
 def cutoffs(stats: DataFrame, labels: DataFrame, label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """(stratum, rule, cutoff, place, n_good, run_rejected) of the rules that are on; ``run_rejected``: good documents of the tests that this rule or one before it rejects."""
+    with scratch(stats.sparkSession):
+        return materialize(_cutoffs(stats, labels, label, risk, level), "cutoffs", keep=True)
+
+
+def _cutoffs(stats: DataFrame, labels: DataFrame, label: str, risk: float, level: float) -> DataFrame:
     held = stats.join(_labelled(labels, label), "doc_id").withColumn("chooses", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     held = materialize(held, "held")
     number = len(RULES) * max(1, held.select("stratum").distinct().count())
@@ -172,7 +177,7 @@ def judged(stats: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     stats = materialize(statistics(docs), "statistics")
-    return judged(stats, materialize(cutoffs(stats, labels, **how), "cutoffs"))
+    return judged(stats, cutoffs(stats, labels, **how))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) -> DataFrame:
@@ -186,8 +191,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", *
     if known.count() <= BROADCAST_LABELS:
         some = some.join(F.broadcast(known), "doc_id", "left_semi")
     some = statistics(some)
-    chosen = materialize(cutoffs(some, labels, label, **how), "cutoffs")
-    return judged(statistics(docs, carry=True), chosen).where("kept").select("_doc.*")
+    return judged(statistics(docs, carry=True), cutoffs(some, labels, label, **how)).where("kept").select("_doc.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.spans import kinds, listed, matches, overlapping
-from gridloom.llm.store import documents, materialize, row_key
+from gridloom.llm.store import documents, materialize, row_key, scratch
 
 #: Fixed patterns of the base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -49,6 +49,11 @@ def base_spans(text: Column) -> Column:
 
 def secret_spans(docs: DataFrame, owner: str = "source", repository: Column | None = None) -> DataFrame:
     """doc_id and, for each row: base spans, all spans (arrays of s, k, e), counts of owner-specific and of widely copied values, and the most owners and repositories of one value."""
+    with scratch(docs.sparkSession):
+        return materialize(_secret_spans(docs, owner, repository), "spans", keep=True)
+
+
+def _secret_spans(docs: DataFrame, owner: str, repository: Column | None) -> DataFrame:
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     text = F.coalesce(F.col("text"), F.lit(""))
     loose = F.transform(matches(text, LOOSE), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))

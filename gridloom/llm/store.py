@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +31,35 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Paths written within each open ``scratch``, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but for those that ``materialize`` keeps."""
+    paths: list[str] = []
+    token = _written.set((*_written.get(), paths))
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader over what was written.
 
-    The shuffle files of the write are of no use after it, and are removed at its end.
+    The shuffle files of the write are of no use after it, and are removed at its end. The
+    table is deleted at the end of the ``scratch`` around it, or with ``keep`` of the next one outside.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    around = _written.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
