@@ -5,10 +5,12 @@ log-ratio of its (smoothed) share in the two classes; a linear hinge-loss model
 the scaled, length-normalised features by dual coordinate descent; a logistic curve, fitted
 on rows that the descent did not see, turns margins into probabilities.
 
-The model is fitted on a bounded sample, ``SAMPLE`` labelled training rows (those with the
-smallest hash of their id), whose features come to the driver: at most ``SAMPLE`` rows of at
-most ``SIZE`` features. Every row is scored on its whole text; the broadcast model is
-``SIZE`` floats. Training rows are those with crc32(doc_id) mod 5 not 0.
+The model is fitted on a bounded sample: of the labelled training rows of ``SAMPLE`` ids (those with
+the smallest hashes), the ``SAMPLE`` rows with the smallest hashes, as far as their features take
+``SAMPLE_BYTES`` at most. These come to the driver; repeated rows count once. Three in four are
+fitted, the log-ratios included; the curve is fitted on the fourth. Every row is scored on its
+whole text; the broadcast model is ``SIZE`` floats. Training rows are those with
+crc32(doc_id) mod 5 not 0.
 
 Null or empty texts have no features and score the sample's share of label 1 as the curve has
 it at margin 0. A null doc_id is held out and scored. Null labels are left out; of several
@@ -24,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import vectext as vt
-from gridloom.llm.store import documents
+from gridloom.llm.store import documents, materialize, row_hash, scratch
 
 SIZE, SAMPLE, THRESHOLD = 1 << 17, 8192, 0.3
+SAMPLE_BYTES = 256 << 20
 EPOCHS, COST, SMOOTH = 8, 1.0, 1.0
 
 
@@ -52,7 +55,7 @@ def features(column):
 def _sampled(batches):
     for batch in batches:
         raw = [x.astype(np.int32).tobytes() for x in features(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["doc_id", "label", "f"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["row", "label", "f"])
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -94,21 +97,26 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(log-ratios, weights, slope, offset) of labelled feature lists, y of 1 and -1."""
-    if not (y > 0).any() or not (y < 0).any():
-        return np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
+def log_ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """For each feature, the logarithm of the ratio of its smoothed shares in rows of label 1 and of label -1."""
     share = []
     for sign in (1, -1):
         own = [r for r, v in zip(rows, y, strict=True) if v == sign]
-        count = SMOOTH + np.bincount(np.concatenate(own), minlength=SIZE)
+        count = SMOOTH + np.bincount(np.concatenate(own), minlength=size)
         share.append(count / (len(own) + 2 * SMOOTH))
-    ratio = np.log(share[0] / share[1])
-    values = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
+    return np.log(share[0] / share[1])
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(log-ratios, weights, slope, offset) of labelled feature lists, y of 1 and -1."""
+    if not (y > 0).any() or not (y < 0).any():
+        return np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     held = np.arange(len(rows)) % 4 == 3
     if not all(((y == s) & m).any() for s in (1, -1) for m in (held, ~held)):
         held = np.zeros(len(rows), bool)
     train = np.flatnonzero(~held)
+    ratio = log_ratios([rows[i] for i in train], y[train], SIZE)
+    values = [ratio[r] / max(np.linalg.norm(ratio[r]), 1e-12) for r in rows]
     w = dual_descent([rows[i] for i in train], [values[i] for i in train], y[train], SIZE)
     test = np.flatnonzero(held) if held.any() else train
     a, b = logistic(np.array([float(w[rows[i]] @ values[i]) for i in test]), y[test])
@@ -131,6 +139,22 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0
 
 
+def _sample(rows: DataFrame) -> list[tuple[int, bytes]]:
+    """(label, features) of the rows (row, label, text) with the smallest hashes, in their order, within the bounds."""
+    first = materialize(rows.select("row").distinct().orderBy("row").limit(SAMPLE), "first")
+    made = rows.join(F.broadcast(first), "row").mapInArrow(_sampled, "row long, label int, f binary")
+    made = materialize(made.groupBy("row").agg(F.max("label").alias("label"), F.max("f").alias("f")), "features")
+    total, last = 0, None
+    for row, size in made.select("row", F.length("f")).orderBy("row").collect():
+        total += size
+        if total > SAMPLE_BYTES:
+            break
+        last = row
+    if last is None:
+        return []
+    return [(r[1], bytes(r[2])) for r in sorted(made.where(F.col("row") <= last).toLocalIterator())]
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
@@ -138,11 +162,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     # at most SAMPLE rows of two numbers: small enough to broadcast, whatever the corpus
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = source.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, f binary")
-    got = sorted({(r[0], r[1], bytes(r[2])) for r in rows.toLocalIterator()})
-    # an id may have several texts; the order of the descent depends on ids and features alone
-    x = [np.frombuffer(f, np.int32) for _, _, f in got]
-    y = np.array([1 if v == 1 else -1 for _, v, _ in got])
+    with scratch(docs.sparkSession):
+        got = _sample(source.join(F.broadcast(sample), "doc_id").select(row_hash().alias("row"), "label", "text"))
+    x = [np.frombuffer(f, np.int32) for _, f in got]
+    y = np.array([1 if v == 1 else -1 for v, _ in got])
     model = fit(x, y)
     return source.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scored(*model), "doc_id long, held_out boolean, score double, predicted int")
 

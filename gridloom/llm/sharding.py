@@ -60,3 +60,12 @@ def shard_names(n: int = SHARDS) -> list[str]:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(documents(spark, sf_dir).select("doc_id", "text"), shard_names()).select("doc_id", "slot", "shard")
+
+
+def oracle() -> str:
+    """The placement in SQL, the lookup table as a list."""
+    return f"""
+WITH t AS (SELECT {lookup_table(shard_names())} AS x),
+d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, x[slot + 1]::INT AS shard FROM d, t
+"""
