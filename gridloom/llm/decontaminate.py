@@ -9,9 +9,10 @@ size; for each block, over the whole corpus:
    each task adds up its rows' part of Z = A'(A W); Z and W'Z give the leading right singular
    vectors (single-pass, symmetric form), scaled to even variance, so that rare terms count.
 3. Passages and items (long items in pieces of a passage) are compared by cosine in the space
-   of these vectors. Every candidate is checked in place, on the words themselves: by the
-   longest common subsequence with the item over the words around the passage, and by the
-   item's answer, its last words.
+   of these vectors. Candidates around which too many of the item's words are missing are
+   ruled out by bitmaps, exactly. The others are checked in place, on the words themselves: by
+   the longest common subsequence with the item over the words around the passage, and by
+   the item's answer, its last words.
 
 An item is found in a document when its longest common subsequence covers ``NEAR`` of it,
 or ``PARAPHRASE`` of it together with ``ANSWER`` of its answer.
@@ -46,6 +47,8 @@ MIN_WORDS = 8
 NEAR, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.75, 0.6, 0.8, 8
 #: Bounds of a block of items, which each task holds.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 1_000_000
+#: Bits of a bitmap of terms, a power of two.
+BITS = 512
 U = np.uint64
 
 
@@ -216,6 +219,25 @@ class Item:
         return both, told, both >= NEAR * self.n or told >= ANSWER * len(self.answer)
 
 
+def bitmaps(rows: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """For n rows, a bitmap of the term numbers that each holds."""
+    bits = np.zeros((n, BITS), bool)
+    bits[rows, numbers * 0x9E3779B1 % (1 << 32) >> 32 - BITS.bit_length() + 1] = True
+    return np.packbits(bits, axis=1).view(U)
+
+
+def spread(bits: np.ndarray, reach: int) -> np.ndarray:
+    """Each row with the rows up to ``reach`` before and after it."""
+    out, done = bits.copy(), 0
+    while done < reach:
+        shift = min(2 * done + 1, reach - done)
+        now = out.copy()
+        now[shift:] |= out[:-shift]
+        now[:-shift] |= out[shift:]
+        out, done = now, done + shift
+    return out
+
+
 def _search(terms: Terms, weight: np.ndarray, basis: np.ndarray, cosine: float):
     def run(batches):
         queries, owner = [], []
@@ -230,6 +252,12 @@ def _search(terms: Terms, weight: np.ndarray, basis: np.ndarray, cosine: float):
         if not queries:
             return
         q, owner = np.array(queries, np.float32), np.array(owner, np.int64)
+        held = [np.unique(terms.find(h)[1]) for h in terms.words]
+        item_bits = bitmaps(np.repeat(np.arange(len(held)), [len(k) for k in held]), np.concatenate(held), len(held))
+        # words that may be missing around a passage, and steps that the words around it may reach
+        sizes = np.array([len(h) for h in terms.words])
+        missing = (sizes * (1 - PARAPHRASE) + 1e-9).astype(np.int64)
+        reach = 1 << np.ceil(np.log2(np.maximum(1, -(-sizes // STEP)))).astype(np.int64)
         items = [Item(h.tolist()) for h in terms.words]
         weighted = basis * weight[:, None]
         for batch in batches:
@@ -245,11 +273,19 @@ def _search(terms: Terms, weight: np.ndarray, basis: np.ndarray, cosine: float):
                 norm = np.sqrt(np.einsum("ij,ij->i", y, y))
                 live = np.flatnonzero(begins & (norm > 1e-9))
                 y = y[live] / norm[live, None]
+                of_step = bitmaps(s, k, len(of))
+                near = {int(r): spread(of_step, int(r) + 1) for r in np.unique(reach[owner])}
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 size = max(1, 2_000_000 // len(q))
                 for a in range(0, len(live), size):
                     hit, query = np.nonzero(y[a : a + size] @ q.T >= cosine)
-                    step = live[a + hit]
+                    step, item = live[a + hit], owner[query]
+                    # words that no step near has are missing, whatever their order: nothing is lost by this
+                    ok = np.zeros(len(step), bool)
+                    for r, bits in near.items():
+                        own = np.flatnonzero(reach[item] == r)
+                        ok[own] = np.bitwise_count(item_bits[item[own]] & ~bits[step[own]]).sum(axis=1) <= missing[item[own]]
+                    step, query = step[ok], query[ok]
                     code = np.unique(step * len(items) + owner[query])
                     for p, i in zip((code // len(items)).tolist(), (code % len(items)).tolist(), strict=True):
                         doc, item = int(of[p]), items[i]
