@@ -59,7 +59,7 @@ WORDS = 5
 #: Most nodes of a key that gives all its pairs; one of more gives stars, in up to ``ROUNDS`` rounds.
 STAR, ROUNDS = 8, 4
 #: Keys of a partition, and keys held by a task before it sends them.
-PART_KEYS, FLUSH_KEYS, MEMBER_ROWS = 2_000_000, 2_000_000, 1 << 16
+PART_KEYS, FLUSH_KEYS, MEMBER_ROWS = 1_000_000, 1_000_000, 1 << 16
 U = np.uint64
 
 
