@@ -97,7 +97,7 @@ def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
         )
 
     x = F.transform(F.array(text), lambda t: F.transform(F.array(words_of(t)), lambda w: row(t, w))[0])[0]
-    row_itself = [F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")] if carry else []
+    row_itself = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if carry else []
     # a generator of one row: what stands above it takes its columns, and never works a text again
     out = docs.select(*row_itself, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), F.explode(F.array(x)).alias("x"))
     return out.select(*(["_doc"] if carry else []), "doc_id", "stratum", "x.n_words", "x.word_chars", "x.n_symbols", F.col("x.lines.dup").alias("n_dup_lines"), "x.n_repeat_words", F.col("x.lines.n").alias("n_lines"), "x.n_capitals", "x.n_exclamations")

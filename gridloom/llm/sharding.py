@@ -51,7 +51,7 @@ def placed(docs: DataFrame, shards: list[str], size: int = SLOTS) -> DataFrame:
     table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, size))), "slot long, shard int")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     slot = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % size
-    return docs.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(table), "slot").select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
+    return docs.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(table), "slot").select(*[f"`{c}`" for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
