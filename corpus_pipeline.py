@@ -69,7 +69,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one that is cut in part is kept whole.
 
-    Texts without words have no size, and the mix takes none of them. A null source is a source.
+    Texts without words have no size: they come once for each whole epoch of their source, and
+    never in the last, partial one. A null source is a source.
     """
     return mixing.repeated(docs)
 
