@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import safety, slides, styles, windowing
+from gridloom.operators import display, safety, slides, styles, windowing
 from gridloom.plans.sheets import Sheets, range_of
 
 QUERIES: dict = {}
@@ -144,13 +144,13 @@ def w_column_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as cells of a sheet for each priority, and every 50th as the corner of a merge."""
+    """Orders as cells of a sheet for each priority, and a merge for each block of 10 rows and 4 columns that has orders, as large as its first order says."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sheet_ix"), (F.col("o_orderkey") % 997).cast("int").alias("row"), (F.col("o_custkey") % 40).cast("int").alias("col"), "o_orderkey")
-    m = o.where("o_orderkey % 50 = 0").select("sheet_ix", F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o_orderkey") % 9).cast("int").alias("r1"), (F.col("col") + F.col("o_orderkey") % 4).cast("int").alias("c1"))
-    return o, m
+    m = o.groupBy("sheet_ix", F.floor(F.col("row") / 10).cast("int").alias("r"), F.floor(F.col("col") / 4).cast("int").alias("c")).agg(F.min("o_orderkey").alias("k"))
+    return o, m.select("sheet_ix", (F.col("r") * 10).alias("r0"), (F.col("c") * 4).alias("c0"), (F.col("r") * 10 + F.col("k") % 10).cast("int").alias("r1"), (F.col("c") * 4 + F.col("k") % 4).cast("int").alias("c1"))
 
 
-_CELLS = "o AS (SELECT o_orderpriority AS sheet_ix, (o_orderkey % 997)::INT AS row, (o_custkey % 40)::INT AS col, o_orderkey FROM orders), m AS (SELECT sheet_ix, row AS r0, col AS c0, (row + o_orderkey % 9)::INT AS r1, (col + o_orderkey % 4)::INT AS c1 FROM o WHERE o_orderkey % 50 = 0)"
+_CELLS = "o AS (SELECT o_orderpriority AS sheet_ix, (o_orderkey % 997)::INT AS row, (o_custkey % 40)::INT AS col, o_orderkey FROM orders), m AS (SELECT sheet_ix, (row // 10 * 10)::INT AS r0, (col // 4 * 4)::INT AS c0, (row // 10 * 10 + min(o_orderkey) % 10)::INT AS r1, (col // 4 * 4 + min(o_orderkey) % 4)::INT AS c1 FROM o GROUP BY sheet_ix, row // 10, col // 4)"
 
 
 @query(f"WITH {_CELLS} SELECT * FROM m WHERE r0 <= 149 AND r1 >= 100 AND c0 <= 19 AND c1 >= 10")
@@ -240,3 +240,60 @@ def t_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", styles.column_pixels(size).alias("wide"), styles.point_pixels(size).alias("high"), slides.pixels(size).alias("from_twips"))
+
+
+@query(f"WITH {_CELLS} SELECT o.sheet_ix, o.row, o.col, o.o_orderkey, m.r0 IS NULL OR (o.row, o.col) = (min(o.row) OVER g, min(o.col) OVER g) AS is_anchor FROM o LEFT JOIN m ON o.sheet_ix = m.sheet_ix AND o.row BETWEEN m.r0 AND m.r1 AND o.col BETWEEN m.c0 AND m.c1 WHERE o.row % 10 <> 3 AND o.col % 8 <> 5 WINDOW g AS (PARTITION BY o.sheet_ix, m.r0, m.c0)")
+def w_shown_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, merges = _grid(spark, sf_dir)
+    covered = windowing.covering_merge(cells, merges)
+    out = display.shown_anchor(covered, cells.where("row % 10 = 3").select("sheet_ix", "row"), cells.where("col % 8 = 5").select("sheet_ix", "col"))
+    return out.select("sheet_ix", "row", "col", "o_orderkey", "is_anchor")
+
+
+_HEIGHTS = "SELECT c_nationkey AS sheet_ix, c_custkey AS row, (c_custkey % 40)::DOUBLE AS points FROM customer"
+
+
+@query(f"WITH r AS ({_HEIGHTS}), i AS (SELECT sheet_ix, max(row) + 1 AS n FROM r GROUP BY 1), p AS (SELECT sheet_ix, unnest(range((n - 1) // 50 + 1)) AS page, n FROM i) SELECT p.sheet_ix, p.page::BIGINT AS page, round(100 + least(50, n - p.page * 50) * 20 + coalesce((SELECT sum(points * 96 / 72 - 20) FROM r WHERE r.sheet_ix = p.sheet_ix AND r.row // 50 = p.page), 0), 6)::DOUBLE AS height FROM p")
+def w_page_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of a sheet for each nation."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sheet_ix"), F.col("c_custkey").alias("row"), (F.col("c_custkey") % 40).cast("double").alias("points"))
+    info = rows.groupBy("sheet_ix").agg((F.max("row") + 1).alias("rows"))
+    return display.page_heights(rows, display.pages_of(info)).select("sheet_ix", "page", F.round("height", 6).alias("height"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(DATE '1899-12-30' + (30000 + o_orderkey % 20000)::INT, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN format('{:,.2f}', o_totalprice) ELSE '(' || format('{:,}', o_custkey) || ')' END AS text, 'right' AS align FROM orders")
+def t_displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells of three formats: dates, amounts, and the section of numbers below zero."""
+    kind = F.col("o_orderkey") % 3
+    cells = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit("n").alias("t"), F.when(kind == 0, 30000 + F.col("o_orderkey") % 20000).when(kind == 1, F.col("o_totalprice")).otherwise(-F.col("o_custkey")).cast("double").alias("num"),
+        F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"), F.lit(None).cast("string").alias("err"),
+        F.when(kind == 0, "yyyy-mm-dd").when(kind == 1, "#,##0.00").otherwise("0;(#,##0)").alias("number_format"), F.lit(None).cast("string").alias("align"),
+    )
+    return display.displayed(cells).select("o_orderkey", "text", "align")
+
+
+@query("SELECT o_orderkey, 'A' || (o_custkey + 1) || '+$C$1' AS formula FROM orders")
+def j_shared_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells of one family of formulas for each priority, begun in row 6."""
+    place = [F.col("o_orderpriority").alias("workbook_id"), F.lit(0).alias("sheet_ix"), F.lit("0").alias("si")]
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", *place, F.col("o_custkey").cast("int").alias("row"), F.lit(1).alias("col"), F.lit("").alias("formula"))
+    heads = cells.select(F.lit(None).cast("long").alias("o_orderkey"), "workbook_id", "sheet_ix", "si", F.lit(5).alias("row"), "col", F.lit("A6+$C$1").alias("formula")).distinct()
+    return windowing.with_shared_formulas(cells.unionByName(heads)).where("o_orderkey is not null").select("o_orderkey", "formula")
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, 'own') AS str FROM customer")
+def j_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cells; every second has its segment as a shared text, numbered by a hash."""
+    df = table(spark, sf_dir, "customer")
+    number = F.xxhash64("c_mktsegment")
+    shared = F.col("c_custkey") % 2 == 0
+    cells = df.select("c_custkey", F.lit("w").alias("workbook_id"), F.when(shared, number).alias("shared_ix"), F.when(~shared, "own").alias("str"))
+    strings = df.select(F.lit("w").alias("workbook_id"), number.alias("ix"), F.col("c_mktsegment").alias("text")).distinct()
+    return windowing.with_shared_strings(cells, strings).select("c_custkey", "str")
+
+
+@query("SELECT c_nationkey AS sheet_ix, unnest(range(least(5, max(c_custkey) // 50 + 1)))::BIGINT AS page FROM customer GROUP BY 1")
+def w_first_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sheet_ix")).agg((F.max("c_custkey") + 1).alias("rows"))
+    return display.shown_windows(display.pages_of(info)).select("sheet_ix", "page")
