@@ -109,6 +109,29 @@ def text_sizes(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*TEXT).agg(F.max("size").alias("size"))
 
 
+def with_fonts(runs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """``runs`` with ``font_name``, that of their font's number."""
+    return runs.join(fonts.select("doc_id", F.col("ix").alias("font"), F.col("name").alias("font_name")), ["doc_id", "font"], "left")
+
+
+def distinct_pictures(pictures: DataFrame) -> DataFrame:
+    """(doc_id, ix, picture_ix, mime): the first number under which a document's picture of the same bytes stands."""
+    known = pictures.where("bytes is not null").select("doc_id", "ix", "mime", F.sha2("bytes", 256).alias("_h"))
+    first = known.groupBy("doc_id", "mime", "_h").agg(F.min("ix").alias("picture_ix"))
+    return known.join(first, ["doc_id", "mime", "_h"]).select("doc_id", "ix", "picture_ix", "mime")
+
+
+def with_pictures(shapes: DataFrame, pictures: DataFrame) -> DataFrame:
+    """``shapes`` with ``picture_ix`` and ``mime`` of the picture that they name; null where it is none that can be shown."""
+    of = distinct_pictures(pictures).withColumnRenamed("ix", "image")
+    return shapes.join(of, ["doc_id", "image"], "left")
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """Each text once, however often slides refer to it: what styles are inherited for."""
+    return texts.dropDuplicates(TEXT)
+
+
 def bullet(text: Column, font: Column) -> Column:
     """The private dot of the Symbol font as a plain one."""
     symbol = F.lower(F.trim(font)).rlike("^[\"']?symbol[\"']?\\z")

@@ -261,7 +261,7 @@ def w_page_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.page_heights(rows, display.pages_of(info)).select("sheet_ix", "page", F.round("height", 6).alias("height"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(DATE '1899-12-30' + (30000 + o_orderkey % 20000)::INT, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN format('{:,.2f}', o_totalprice) ELSE '(' || format('{:,}', o_custkey) || ')' END AS text, 'right' AS align FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(DATE '1899-12-30' + (30000 + o_orderkey % 20000)::INT, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN format('{:,.2f}', o_totalprice) WHEN o_custkey = 0 THEN '0' ELSE '(' || format('{:,}', o_custkey) || ')' END AS text, 'right' AS align FROM orders")
 def t_displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cells of three formats: dates, amounts, and the section of numbers below zero."""
     kind = F.col("o_orderkey") % 3

@@ -63,3 +63,16 @@ def test_geometry_and_texts(spark, tmp_path):
     write(tmp_path / "a.pptx", {"ppt/presentation.xml": f'<p:presentation xmlns:p="p" {rel}><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="a" Target="slides/slide1.xml"/><Relationship Id="b" Target="slides/slide2.xml"/></Relationships>', "ppt/slides/slide1.xml": slide("first file"), "ppt/slides/slide2.xml": slide("shown first")})
     got = spark.read.format("pptx").option("path", str(tmp_path)).load().orderBy("slide_ix").collect()
     assert [r.text for r in got] == ["shown first", "first file"]
+
+
+def test_fonts_and_pictures_by_number(spark):
+    from gridloom.operators import slides
+
+    runs = spark.createDataFrame([("d", 0, 1), ("d", 1, 9), ("e", 0, 1)], "doc_id string, start int, font int")
+    fonts = spark.createDataFrame([("d", 1, "Lato"), ("e", 1, "Inter")], "doc_id string, ix int, name string")
+    assert sorted((r.doc_id, r.start, r.font_name) for r in slides.with_fonts(runs, fonts).collect()) == [("d", 0, "Lato"), ("d", 1, None), ("e", 0, "Inter")]
+    pictures = spark.createDataFrame([("d", 1, "image/png", b"p"), ("d", 2, None, None), ("d", 3, "image/png", b"p"), ("d", 4, "image/jpeg", b"p")], "doc_id string, ix int, mime string, bytes binary")
+    shapes = spark.createDataFrame([("d", i, i) for i in range(1, 6)], "doc_id string, shape_ix int, image int")
+    assert sorted((r.shape_ix, r.picture_ix or 0) for r in slides.with_pictures(shapes, pictures).collect()) == [(1, 1), (2, 0), (3, 1), (4, 4), (5, 0)]
+    texts = spark.createDataFrame([("d", 0, 1, 2, "a")] * 2 + [("d", 0, 1, 3, "a")], "doc_id string, slide_ix int, shape_ix int, text_ix int, text string")
+    assert slides.distinct_texts(texts).count() == 2
