@@ -127,6 +127,11 @@ def _labelled(labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def chooses(doc_id: Column) -> Column:
+    """Whether a labelled document is of the half that chooses."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 2), 16, 10).cast("int") % 2 == 0
+
+
 def candidates(held: DataFrame) -> DataFrame:
     """(stratum, rule, cutoff, gain, place): per stratum and rule the cutoff that gains most on labelled statistics, in order of gain."""
     good, bad = F.col("label") == 1, F.col("label") != 1
@@ -150,7 +155,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, label: str = "quality", risk: f
 
 
 def _cutoffs(stats: DataFrame, labels: DataFrame, label: str, risk: float, level: float) -> DataFrame:
-    held = stats.join(_labelled(labels, label), "doc_id").withColumn("chooses", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    held = stats.join(_labelled(labels, label), "doc_id").withColumn("chooses", chooses(F.col("doc_id")))
     held = materialize(held, "held")
     number = len(RULES) * max(1, held.select("stratum").distinct().count())
     chosen = materialize(candidates(held.where("chooses")), "candidates")
@@ -196,4 +201,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", *
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.array_sort("failed_rules"), ",").alias("failed_rules"))

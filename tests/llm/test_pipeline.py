@@ -80,7 +80,7 @@ def test_run_equals_plain_python(spark):
     docs = corpus_pipeline.documents(spark, SF)
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
     labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] is not None]
-    chooses = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
+    chooses = {r[0]: r[1] for r in docs.select("doc_id", quality_rules.chooses(F.col("doc_id"))).collect()}
     rows = plain_quality(rows, labels, chooses)
     first = {doc for doc, n, group in brute([r[:2] for r in rows]) if doc == group}
     rows = [r for r in rows if r[0] in first]
