@@ -52,6 +52,7 @@ def features(column):
             yield found
 
 
+@vt.released
 def _sampled(batches):
     for batch in batches:
         raw = [x.astype(np.int32).tobytes() for x in features(batch.column(2))]
@@ -132,7 +133,7 @@ def _scored(ratio: np.ndarray, w: np.ndarray, a: float, b: float):
             score = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.astype(np.float64)), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return run
+    return vt.released(run)
 
 
 def held_out(doc_id):

@@ -116,7 +116,7 @@ def _frequencies(terms: Terms):
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], total))], ["t", "n"])
 
-    return run
+    return vt.released(run)
 
 
 def _hits(terms: Terms, weight: np.ndarray, hashes, before):
@@ -166,7 +166,7 @@ def _sketch(terms: Terms, weight: np.ndarray, w: np.ndarray):
         some = np.flatnonzero(z.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(z[some, i]) for i in range(w.shape[1]))], ["t", *(f"z{i}" for i in range(w.shape[1]))])
 
-    return run
+    return vt.released(run)
 
 
 def singular_vectors(z: np.ndarray, w: np.ndarray, rank: int) -> np.ndarray:
@@ -302,7 +302,7 @@ def _search(terms: Terms, weight: np.ndarray, basis: np.ndarray, cosine: float):
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], ["doc_id", "item_id", "item_words", "common_words", "answer_words"])
 
-    return run
+    return vt.released(run)
 
 
 _FOUND = "doc_id long, item_id long, item_words long, common_words long, answer_words long"

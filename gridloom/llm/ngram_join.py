@@ -58,8 +58,8 @@ NUM, DEN = 75, 100
 WORDS = 5
 #: Most nodes of a key that gives all its pairs; one of more gives stars, in up to ``ROUNDS`` rounds.
 STAR, ROUNDS = 8, 4
-#: Keys of a partition, and keys held by a task before it sends them.
-PART_KEYS, FLUSH_KEYS, MEMBER_ROWS = 1_000_000, 1_000_000, 1 << 16
+#: Shingles (of two to three keys) of a partition, keys held by a task before it sends them, and members of keys sent together.
+PART_SHINGLES, FLUSH_KEYS, MEMBER_ROWS = 500_000, 1_000_000, 1 << 16
 U = np.uint64
 
 
@@ -231,6 +231,7 @@ def widened(raw, count: int) -> np.ndarray:
 # -- passes over the texts --------------------------------------------------
 
 
+@vt.released
 def _table_of_sets(batches):
     """doc_id, row, node, n_shingles, the segments that a node can spare in either scheme, and its bitmap."""
     for batch in batches:
@@ -242,6 +243,7 @@ def _table_of_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(vt.signed(nodes_of(sets, at))), pa.array(sizes), *spare, pa.array(bitmaps(sets, at), pa.binary())], ["doc_id", "row", "node", "n_shingles", "spare0", "spare1", "bits"])
 
 
+@vt.released
 def _sets_by_node(batches):
     """(text, node wanted of it) to (node, its set)."""
     for batch in batches:
@@ -325,7 +327,7 @@ def _packed_keys(parts: int):
         if held:
             yield from flush()
 
-    return run
+    return vt.released(run)
 
 
 # -- matching ---------------------------------------------------------------
@@ -335,22 +337,33 @@ _MATCH = "kind int, a long, b long, segment int"
 
 def _match(table: pa.Table) -> pa.Table:
     """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key, twice the node's segment plus the role) of keys with more than STAR nodes."""
-    keys, refs, segments, nodes, sizes, base = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint32)], 0
     members = [np.zeros((3, 0), U)]
+    nodes, sizes = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
     for row in range(table.num_rows):
         members.append(np.frombuffer(table["members"][row].as_buffer(), U).reshape(3, -1))
-        n = np.frombuffer(table["nodes"][row].as_buffer(), U)
-        keys.append(np.frombuffer(table["keys"][row].as_buffer(), np.uint32))
-        refs.append(widened(table["refs"][row].as_buffer(), len(keys[-1])) + base)
-        segments.append(widened(table["segments"][row].as_buffer(), len(keys[-1])))
-        nodes.append(n)
+        nodes.append(np.frombuffer(table["nodes"][row].as_buffer(), U))
         sizes.append(np.frombuffer(table["sizes"][row].as_buffer(), np.uint32))
-        base += len(n)
     uniq, first, local = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
     size = np.concatenate(sizes)[first].astype(np.int64)
-    both, at = np.unique((np.concatenate(keys).astype(U) << U(32)) | local[np.concatenate(refs)].astype(U), return_index=True)
-    segment = np.concatenate(segments)[at]
-    key, ref = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
+    # one array of key and node, filled row by row, and one of segments: all else is freed as soon as it is used
+    count = [len(table["keys"][row].as_buffer()) // 4 for row in range(table.num_rows)]
+    both, segment, at, base = np.empty(sum(count), U), np.empty(sum(count), np.uint32), 0, 0
+    for row, n in enumerate(count):
+        refs = widened(table["refs"][row].as_buffer(), n)
+        both[at : at + n] = np.frombuffer(table["keys"][row].as_buffer(), np.uint32)
+        both[at : at + n] <<= U(32)
+        both[at : at + n] |= local[refs + base].astype(U)
+        segment[at : at + n] = widened(table["segments"][row].as_buffer(), n)
+        at, base = at + n, base + len(nodes[row + 1])
+    del local, nodes, sizes
+    order = np.argsort(both, kind="stable")
+    both, segment = both[order], segment[order]
+    del order
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both, segment = both[new], segment[new]
+    key, ref = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+    del both, new
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     run = np.diff(np.append(start, len(key)))
     length = np.repeat(run, run)
@@ -366,14 +379,17 @@ def _match(table: pa.Table) -> pa.Table:
     many = np.flatnonzero(~few)
     members.append(np.stack([uniq[ref[many]], key_names(key[many], table["p"][0].as_py()), segment[many].astype(U)]))
     node, name, where = np.concatenate(members, axis=1)
-    return pa.table({
+    out = pa.table({
         "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(node)])),
         "a": pa.array(vt.signed(np.concatenate([a, node]))),
         "b": pa.array(vt.signed(np.concatenate([b, name]))),
         "segment": pa.array(np.concatenate([np.zeros(len(a), np.int32), where.astype(np.int32)])),
     })
+    vt.trim()
+    return out
 
 
+@vt.released
 def _linked(batches):
     for batch in batches:
         a, b, left, right = (batch.column(i) for i in range(4))
@@ -388,6 +404,7 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
 
+@vt.released
 def _plausible(batches):
     for batch in batches:
         a, b, x, y, nx, ny = (batch.column(i) for i in range(6))
@@ -439,6 +456,7 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return ends.where("_ra <> root").select("a", "b")
 
 
+@vt.released
 def _listed(batches):
     for batch in batches:
         for i in range(batch.num_rows):
@@ -496,7 +514,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = materialize(source.mapInArrow(_table_of_sets, "doc_id long, row long, node long, n_shingles long, spare0 long, spare1 long, bits binary"), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = int(max(1, total // PART_KEYS, min(cores, total // 200_000)))
+    parts = int(max(1, total // PART_SHINGLES, min(cores, total // 200_000)))
     packed = source.select("text").mapInArrow(_packed_keys(parts), _PACKED)
     matched = materialize(packed.groupBy("p").applyInArrow(_match, _MATCH), "matched")
     large = materialize(table.where("n_shingles > 2").groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n"), F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1")), "large")

@@ -214,7 +214,7 @@ def _counted(path: str, limit: int):
                 n = of.count(text.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(offsets[1:] - offsets[:-1]), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return run
+    return vt.released(run)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
