@@ -520,7 +520,8 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = materialize(table.where("n_shingles > 2").groupBy("node").agg(F.max("bits").alias("bits"), F.max("n_shingles").alias("n"), F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1")), "large")
     bits = large.select("node", "bits", "n")
 
-    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), "segment").distinct()
+    # a membership may stand here more than once: it is told once when allowances are counted
+    members = matched.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), "segment")
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     members = materialize(members.join(degree, "node"), "members")
     _, pairs = _stars(members)
@@ -529,6 +530,8 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     short = materialize(_short(large.select("node", "spare0", "spare1"), members, comps), "short")
     sets = _fetched(short.select("node"), table, source)
+    # from here on only these nodes take part
+    bits = materialize(bits.join(short.select("node"), "node", "left_semi"), "bits")
     left, merged = members.join(short, "node", "left_semi"), False
     for _ in range(ROUNDS):
         left = materialize(_label(left, comps), "left")
