@@ -31,18 +31,24 @@ def row_index(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
 
 
 def window(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int], anchors: DataFrame | None = None) -> DataFrame:
-    """Cells of an inclusive rectangle, and the anchor cells (row, col) outside it. Bounds reach a Parquet scan."""
+    """Cells of an inclusive rectangle, and the anchor cells (row, col, and their sheet where it is told) outside it. Bounds reach a Parquet scan."""
     inside = F.col("row").between(*rows) & F.col("col").between(*columns)
     found = cells.where(inside)
     if anchors is None:
         return found
-    return found.unionByName(cells.where(~inside).join(anchors.select("row", "col").distinct(), ["row", "col"], "left_semi").select(cells.columns))
+    keys = [c for c in ("workbook_id", "sheet_ix", "row", "col") if c in anchors.columns and c in cells.columns]
+    return found.unionByName(cells.where(~inside).join(anchors.select(*keys).distinct(), keys, "left_semi").select(cells.columns))
 
 
 def page(row: Column) -> Column:
     return F.floor(row / PAGE_ROWS).cast("long")
 
 
+def column_window(col: Column) -> Column:
+    """The first column of the window that a column is in."""
+    return (F.floor(col / WINDOW_COLUMNS) * WINDOW_COLUMNS).cast("long")
+
+
 def visible(cells: DataFrame, hidden_rows: DataFrame, hidden_columns: DataFrame) -> DataFrame:
     return cells.join(hidden_rows, ["sheet_ix", "row"], "left_anti").join(hidden_columns, ["sheet_ix", "col"], "left_anti")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.cells import letters_of, row_column
 from gridloom.operators import display, safety, slides, styles, windowing
+from gridloom.plans.evaluate import evaluate_cells
 from gridloom.plans.sheets import Sheets, range_of
 
 QUERIES: dict = {}
@@ -297,3 +300,44 @@ def j_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w_first_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sheet_ix")).agg((F.max("c_custkey") + 1).alias("rows"))
     return display.shown_windows(display.pages_of(info)).select("sheet_ix", "page")
+
+
+@query(f"WITH {_CELLS} SELECT o.* FROM o WHERE (row BETWEEN 100 AND 149 AND col BETWEEN 10 AND 19) OR (sheet_ix, row, col) IN (SELECT (sheet_ix, r0, c0) FROM m WHERE r0 <= 149 AND r1 >= 100 AND c0 <= 19 AND c1 >= 10)")
+def w_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window with the origins of the merges that reach into it."""
+    cells, merges = _grid(spark, sf_dir)
+    origins = windowing.merges_in(merges, (100, 149), (10, 19)).select("sheet_ix", F.col("r0").alias("row"), F.col("c0").alias("col"))
+    return windowing.window(cells, (100, 149), (10, 19), origins)
+
+
+@query(f"WITH {_CELLS} SELECT sheet_ix, (row // 50)::BIGINT AS page, (col // 20 * 20)::BIGINT AS left, count(*) AS n FROM o GROUP BY ALL")
+def w_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = _grid(spark, sf_dir)
+    return cells.groupBy("sheet_ix", windowing.page(F.col("row")).alias("page"), windowing.column_window(F.col("col")).alias("left")).agg(F.count("*").alias("n"))
+
+
+_LETTERS = "CASE WHEN n > 702 THEN chr((65 + (n - 703) // 676)::INT) ELSE '' END || CASE WHEN n > 26 THEN chr((65 + (n - 27) // 26 % 26)::INT) ELSE '' END || chr((65 + (n - 1) % 26)::INT)"
+
+
+@query(f"WITH p AS (SELECT o_orderkey, o_orderkey % 16400 + 1 AS n, o_custkey + 1 AS r FROM orders) SELECT o_orderkey, {_LETTERS} AS letters, CASE WHEN n <= 16384 THEN n - 1 END::INT AS col, CASE WHEN n <= 16384 THEN r - 1 END::INT AS row FROM p")
+def t_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as letters, and addresses back to places; those right of the last column are none."""
+    df = table(spark, sf_dir, "orders").withColumn("letters", letters_of(F.col("o_orderkey") % 16400))
+    row, col = row_column(F.concat("letters", F.lit("$"), (F.col("o_custkey") + 1).cast("string")))
+    return df.select("o_orderkey", "letters", col.cast("int").alias("col"), row.cast("int").alias("row"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS workbook_id, (row_number() OVER n - 1)::INT AS row, round(sum(greatest(c_acctbal, 0)) OVER n, 2) AS total FROM customer WINDOW n AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING)")
+def e_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each nation: balances in column A, and in column B formulas that each refer to the one above."""
+    df = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("workbook_id"), "c_acctbal", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")).alias("r"))
+    own = F.format_string("IF(A%d>0,A%d,0)", "r", "r")
+    formula = F.when(F.col("r") == 1, own).otherwise(F.concat(F.format_string("B%d+", F.col("r") - 1), own))
+    none = lambda kind: F.lit(None).cast(kind)
+    place = ["workbook_id", F.lit(0).alias("sheet_ix"), (F.col("r") - 1).alias("row")]
+    rest = [none("string").alias("str"), none("boolean").alias("bool"), none("string").alias("err")]
+    values = df.select(*place, F.lit(0).alias("col"), F.lit("n").alias("t"), F.col("c_acctbal").alias("num"), *rest, none("string").alias("formula"))
+    cells = values.unionByName(df.select(*place, F.lit(1).alias("col"), none("string").alias("t"), none("double").alias("num"), *rest, formula.alias("formula")))
+    sheets = df.select("workbook_id").distinct().select("workbook_id", F.lit(0).alias("sheet_ix"), F.lit("Balances").alias("name"))
+    names = sheets.select("workbook_id", F.lit("Unused").alias("name"), F.lit("1").alias("value"), none("int").alias("sheet_ix"))
+    return evaluate_cells(cells, sheets, names).select("workbook_id", "row", F.round("num", 2).alias("total"))
