@@ -60,6 +60,8 @@ WORDS = 5
 STAR, ROUNDS = 8, 4
 #: Shingles (of two to three keys) of a partition, keys held by a task before it sends them, and members of keys sent together.
 PART_SHINGLES, FLUSH_KEYS, MEMBER_ROWS = 500_000, 1_000_000, 1 << 16
+#: Wanted nodes up to which their table, of 16 bytes a node, is broadcast.
+BROADCAST_NODES = 1_000_000
 U = np.uint64
 
 
@@ -490,7 +492,9 @@ def _short_pairs(sets: DataFrame, comps: DataFrame) -> DataFrame:
 def _fetched(wanted: DataFrame, table: DataFrame, source: DataFrame) -> DataFrame:
     """(node, set) of the wanted nodes, each from one of its rows, found by a hash of id and text; rows equal in both are read alike."""
     one = table.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = source.join(materialize(one, "wanted"), "row").select("text", "node")
+    one = materialize(one, "wanted")
+    # two numbers each: up to this many are broadcast, and no text moves
+    texts = source.join(F.broadcast(one) if one.count() <= BROADCAST_NODES else one, "row").select("text", "node")
     return materialize(texts.mapInArrow(_sets_by_node, "node long, sh binary").dropDuplicates(["node"]), "fetched")
 
 
