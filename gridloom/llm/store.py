@@ -15,7 +15,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a session while an intermediate table is written: its shuffle files go at the end, and batches for Python are small, as a task holds several.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,12 +61,17 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     around = _written.get()[: -1 if keep else None]
     if around:
         around[-1].append(path)
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
     try:
+        for name, value in _WRITING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN_UP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
