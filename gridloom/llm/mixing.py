@@ -44,6 +44,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     A level L makes every target min(CAP * size, L * weight) and their sum TOTAL of all sizes.
     In order of CAP * size / weight, sources are capped as long as the level for the rest stays above.
+    One task has them all, a row a source.
     """
     order = W.orderBy(F.col("source").isNull(), "source")
     weighted = sizes.withColumn("_i", F.row_number().over(order)).withColumn("w", F.element_at(F.array(*map(F.lit, map(float, WEIGHTS))), ((F.col("_i") - 1) % len(WEIGHTS) + 1).cast("int")))
