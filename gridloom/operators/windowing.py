@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,15 +15,44 @@ from gridloom.functions.formula import rebase
 
 # Rows of a page, columns of a window, bounds of a chosen width, default width.
 PAGE_ROWS, WINDOW_COLUMNS, MIN_WIDTH, MAX_WIDTH, WIDTH = 50, 20, 24, 2400, 64
+#: Keys sampled for each range of rows that are numbered.
+SAMPLED = 64
+
+
+def _bucket(df: DataFrame, order: tuple[str, ...]) -> Column:
+    """The number of the range of ``order`` that a row lies in, 0 up to the count of shuffle partitions less 1.
+
+    Bounds come from a sample that is taken now and stand in the column as constants: wherever
+    the column is computed a row gets the same range. Any bounds give ranges in order.
+    """
+    keys = df.select(*order)
+    parts, count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count()
+    seen = keys.sample(min(1.0, SAMPLED * parts / max(1, count)), seed=7).orderBy(*order).collect()
+    bounds = [seen[i * len(seen) // parts] for i in range(1, parts)] if seen else []
+    bounds = [x for i, x in enumerate(bounds) if not i or x != bounds[i - 1]]
+    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
+
+    def bound(row: Row) -> Column:
+        found = [F.lit(x).cast(c.dataType).alias(c.name) for x, c in zip(row, keys.schema, strict=True)]
+        return F.struct(*found) if len(order) > 1 else found[0]
+
+    def placed(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= bound(bounds[middle]), placed(middle + 1, high)).otherwise(placed(low, middle))
+
+    return placed(0, len(bounds))
 
 
 def row_index(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
     """``df`` with 0-based row numbers in the order of columns that are unique together.
 
-    A range partitioning sorts; partition sizes, a row each, give the offsets. No row goes to one task.
+    Rows are sorted within ranges; their sizes, a row each, give the offsets. No row goes to one task.
+    A range partitioning by Spark won't do: rows and sizes are computed apart, and its bounds and
+    the partitions that adaptive execution puts together differ between the two.
     """
-    part = F.spark_partition_id().alias("_part")
-    ranged = df.repartitionByRange(*order).select("*", part)
+    ranged = df.withColumn("_part", _bucket(df, order))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     start = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
