@@ -1,7 +1,9 @@
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+from gridloom import registry
 from gridloom.operators import windowing
 
 
@@ -20,3 +22,13 @@ def test_rows_are_numbered_by_several_columns_of_any_type(spark):
     assert [r.row for r in found] == list(range(len(rows)))
     assert [(r.a, r.b, r.c) for r in found] == sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
     assert windowing.row_index(df.limit(0), "a", "b").count() == 0
+
+
+def test_page_totals_of_many_files_equal_sql(spark, tmp_path):
+    (tmp_path / "orders.parquet").mkdir()
+    for i in range(6):
+        rows = f"SELECT (i * 7919 % 600011)::BIGINT AS o_orderkey, (i % 977)::DOUBLE / 4 AS o_totalprice FROM range(600011) r(i) WHERE i % 6 = {i}"
+        duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/orders.parquet/{i}.parquet' (ROW_GROUP_SIZE 20000)")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = duckdb.sql(registry.SQL["w_page_totals"] + " ORDER BY 1").fetchall()
+    assert [tuple(r) for r in registry.QUERIES["w_page_totals"](spark, str(tmp_path)).orderBy("page").collect()] == want
