@@ -77,7 +77,12 @@ def as_number(x: Value) -> Value:
 
 def number_text(x: Column) -> Column:
     """Shortest digits without a needless point; exponents from 1e21 and below 1e-6."""
-    shown = F.lower(F.abs(x).cast("string"))
+    # bound to names, as what stands for x and its digits is used many times over
+    named = lambda value, make: F.element_at(F.transform(F.array(value), make), 1)
+    return named(x, lambda v: named(F.lower(F.abs(v).cast("string")), lambda shown: _number_text(v, shown)))
+
+
+def _number_text(x: Column, shown: Column) -> Column:
     whole = F.regexp_replace(shown, r"\.0$", "")
     parts = F.split(shown, "e")
     power = F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(0))

@@ -32,3 +32,12 @@ def test_page_totals_of_many_files_equal_sql(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = duckdb.sql(registry.SQL["w_page_totals"] + " ORDER BY 1").fetchall()
     assert [tuple(r) for r in registry.QUERIES["w_page_totals"](spark, str(tmp_path)).orderBy("page").collect()] == want
+
+
+def test_number_text_of_large_keys_equals_sql(spark, tmp_path):
+    keys = "[0, 6544, 876543, 876544, 876545, 1199999, 8123456, 9876543, 9876544, 98765432, 99876544, 987654321]"
+    duckdb.sql(f"COPY (SELECT unnest({keys})::BIGINT AS p_partkey, 'x' AS p_name, 'y' AS p_brand, 7 AS p_size, 1.5::DOUBLE AS p_retailprice) TO '{tmp_path}/part.parquet'")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = duckdb.sql(registry.SQL["f_number_text"] + " ORDER BY 1").fetchall()
+    got = registry.QUERIES["f_number_text"](spark, str(tmp_path)).select("p_partkey", "million", "long", "small").orderBy("p_partkey").collect()
+    assert [tuple(r) for r in got] == want
