@@ -58,8 +58,8 @@ NUM, DEN = 75, 100
 WORDS = 5
 #: Most nodes of a key that gives all its pairs; one of more gives stars, in up to ``ROUNDS`` rounds.
 STAR, ROUNDS = 8, 4
-#: Shingles (of two to three keys) of a partition, keys held by a task before it sends them, and members of keys sent together.
-PART_SHINGLES, FLUSH_KEYS, MEMBER_ROWS = 500_000, 1_000_000, 1 << 16
+#: Shingles (of two to three keys) of a partition, its keys that are matched at a time, keys held by a task before it sends them, and members of keys sent together.
+PART_SHINGLES, PIECE_KEYS, FLUSH_KEYS, MEMBER_ROWS = 1_000_000, 500_000, 600_000, 1 << 16
 #: Wanted nodes up to which their table, of 16 bytes a node, is broadcast.
 BROADCAST_NODES = 1_000_000
 U = np.uint64
@@ -222,12 +222,26 @@ def segment_keys(sets: np.ndarray, at: np.ndarray, role: int) -> tuple[np.ndarra
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """In 2 bytes each where they fit, else 4."""
-    return values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+    """In 1 or 2 bytes each where they fit, else 4."""
+    most = values.max(initial=0)
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
 def widened(raw, count: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * count else np.uint16).astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // max(1, count) or 1}").astype(np.int64)
+
+
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Values that grow within runs, which begin at ``first``, as differences from the one before in the run."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
+
+
+def stepped(values: np.ndarray, first: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """``steps`` undone; ``runs``: the lengths of the runs."""
+    total = np.cumsum(values)
+    return total - np.repeat(total[first] - values[first], runs)
 
 
 # -- passes over the texts --------------------------------------------------
@@ -262,7 +276,7 @@ def key_names(keys: np.ndarray, part) -> np.ndarray:
     return vt.mix((keys.astype(U) << U(32)) ^ np.asarray(part).astype(U))
 
 
-_PACKED = "p long, keys binary, refs binary, segments binary, nodes binary, sizes binary, members binary"
+_PACKED = "p long, keys binary, counts binary, segments binary, nodes binary, sizes binary, members binary"
 
 
 def _packed(p: int, *parts: bytes) -> pa.RecordBatch:
@@ -296,15 +310,16 @@ def _packed_keys(parts: int):
                     yield _packed((spread + a // MEMBER_ROWS) % parts, *[b""] * 5, nodes[own_].tobytes() + name_.tobytes() + segments[own_].astype(U).tobytes())
             # of a key with many nodes here, as many go on as show that it has many
             order = order[np.arange(len(order)) - np.repeat(first, run) <= STAR]
-            order = order[np.argsort(part[order], kind="stable")]
+            # by node within a partition: nodes are told once, with the counts of their keys, and segments as small steps
+            order = order[np.lexsort((segments[order], nodes[order], part[order]))]
             edge = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 own = order[edge[p] : edge[p + 1]]
                 if len(own):
-                    uniq, ref = np.unique(nodes[own], return_inverse=True)
-                    size = np.zeros(len(uniq), np.uint32)
-                    size[ref] = sizes[own]
-                    yield _packed(p, keys[own].astype(np.uint32).tobytes(), narrow(ref), narrow(segments[own]), uniq.tobytes(), size.tobytes(), b"")
+                    node = nodes[own]
+                    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                    counts = np.diff(np.append(first, len(own)))
+                    yield _packed(p, keys[own].astype(np.uint32).tobytes(), narrow(counts), narrow(steps(segments[own], first)), node[first].tobytes(), narrow(sizes[own[first]]), b"")
 
         for batch in batches:
             for _, _, data, offsets in vt.chunks(batch.column(0)):
@@ -337,49 +352,60 @@ def _packed_keys(parts: int):
 _MATCH = "kind int, a long, b long, segment int"
 
 
+def _keys(table: pa.Table, local: np.ndarray, piece: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key and node, segment) of the keys in a piece of their range, sorted and each once; ``local``: the numbers of all rows' nodes."""
+    both, segment, base = [np.zeros(0, U)], [np.zeros(0, np.uint32)], 0
+    for row in range(table.num_rows):
+        keys = np.frombuffer(table["keys"][row].as_buffer(), np.uint32)
+        n = len(table["nodes"][row].as_buffer()) // 8
+        if len(keys):
+            counts = widened(table["counts"][row].as_buffer(), n)
+            refs, first = np.repeat(local[base : base + n], counts), np.cumsum(counts) - counts
+            where = stepped(widened(table["segments"][row].as_buffer(), len(keys)), first, counts)
+            own = np.flatnonzero((keys.astype(U) * U(pieces)) >> U(32) == piece)
+            both.append((keys[own].astype(U) << U(32)) | refs[own].astype(U))
+            segment.append(where[own].astype(np.uint32))
+        base += n
+    both, segment = np.concatenate(both), np.concatenate(segment)
+    order = np.argsort(both, kind="stable")
+    both, segment = both[order], segment[order]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    return both[new], segment[new]
+
+
 def _match(table: pa.Table) -> pa.Table:
-    """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key, twice the node's segment plus the role) of keys with more than STAR nodes."""
+    """Pairs (kind 0) of one partition's keys, and membership (kind 1: node, key, twice the node's segment plus the role) of keys with more than STAR nodes.
+
+    Keys are unpacked and sorted a piece of their range at a time.
+    """
     members = [np.zeros((3, 0), U)]
-    nodes, sizes = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+    nodes, sizes, total = [np.zeros(0, U)], [np.zeros(0, np.uint32)], 0
     for row in range(table.num_rows):
         members.append(np.frombuffer(table["members"][row].as_buffer(), U).reshape(3, -1))
         nodes.append(np.frombuffer(table["nodes"][row].as_buffer(), U))
-        sizes.append(np.frombuffer(table["sizes"][row].as_buffer(), np.uint32))
+        sizes.append(widened(table["sizes"][row].as_buffer(), len(nodes[-1])).astype(np.uint32))
+        total += len(table["keys"][row].as_buffer()) // 4
     uniq, first, local = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first].astype(np.int64)
-    # one array of key and node, filled row by row, and one of segments: all else is freed as soon as it is used
-    count = [len(table["keys"][row].as_buffer()) // 4 for row in range(table.num_rows)]
-    both, segment, at, base = np.empty(sum(count), U), np.empty(sum(count), np.uint32), 0, 0
-    for row, n in enumerate(count):
-        refs = widened(table["refs"][row].as_buffer(), n)
-        both[at : at + n] = np.frombuffer(table["keys"][row].as_buffer(), np.uint32)
-        both[at : at + n] <<= U(32)
-        both[at : at + n] |= local[refs + base].astype(U)
-        segment[at : at + n] = widened(table["segments"][row].as_buffer(), n)
-        at, base = at + n, base + len(nodes[row + 1])
-    del local, nodes, sizes
-    order = np.argsort(both, kind="stable")
-    both, segment = both[order], segment[order]
-    del order
-    new = np.ones(len(both), bool)
-    new[1:] = both[1:] != both[:-1]
-    both, segment = both[new], segment[new]
-    key, ref = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
-    del both, new
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    run = np.diff(np.append(start, len(key)))
-    length = np.repeat(run, run)
-    pairs = [(ref[:0], ref[:0])]
-    few = length <= STAR
-    for d in range(1, min(STAR, len(key))):
-        i = np.flatnonzero(few[:-d] & (key[:-d] == key[d:]))
-        pairs.append((ref[i], ref[i + d]))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    ok = np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM
-    code = np.unique(a[ok] * max(1, len(uniq)) + b[ok])
+    size, local = np.concatenate(sizes)[first].astype(np.int64), local.astype(np.uint32)
+    del nodes, sizes, first
+    codes, pieces = [np.zeros(0, np.int64)], -(-total // PIECE_KEYS)
+    for piece in range(pieces):
+        both, segment = _keys(table, local, piece, pieces)
+        key, ref = (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+        del both
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        run = np.diff(np.append(start, len(key)))
+        few = np.repeat(run <= STAR, run)
+        for d in range(1, min(STAR, len(key))):
+            i = np.flatnonzero(few[:-d] & (key[:-d] == key[d:]))
+            a, b = ref[i], ref[i + d]
+            ok = np.minimum(size[a], size[b]) * DEN >= np.maximum(size[a], size[b]) * NUM
+            codes.append(np.unique(a[ok] * len(uniq) + b[ok]))
+        many = np.flatnonzero(~few)
+        members.append(np.stack([uniq[ref[many]], key_names(key[many], table["p"][0].as_py()), segment[many].astype(U)]))
+    code = np.unique(np.concatenate(codes))
     a, b = uniq[code // max(1, len(uniq))], uniq[code % max(1, len(uniq))]
-    many = np.flatnonzero(~few)
-    members.append(np.stack([uniq[ref[many]], key_names(key[many], table["p"][0].as_py()), segment[many].astype(U)]))
     node, name, where = np.concatenate(members, axis=1)
     out = pa.table({
         "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(node)])),
