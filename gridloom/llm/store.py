@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Settings of a session while an intermediate table is written: its shuffle files go at the end, and batches for Python are small, as a task holds several.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
+#: Options of such a write: no checksum files in local folders. The JVM starts a process to set the mode of each file, and while one starts the executor's memory shows twice. Other file systems don't read this.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where Spark runs inside this process (tests)."""
@@ -65,7 +68,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     try:
         for name, value in _WRITING.items():
             spark.conf.set(name, value)
-        df.write.parquet(path)
+        df.write.options(**_PLAIN).parquet(path)
     finally:
         for name, value in before.items():
             if value is None:
