@@ -4,7 +4,7 @@ Formulas over ranges of such sheets compile to one aggregate per table; formulas
 written as for row 2 of the sheet, compile to columns. Nothing is collected. Ranges of all rows
 (``range_of`` writes them) need no row numbers. Others, single cells, criteria whose targets lie
 in other rows or tables, and rows that look at rows beside them need the order of the table's
-rows: columns that are unique together. Rows are numbered by a range partitioning then, and rows
+rows: columns that are unique together. Rows are numbered within ranges of sampled bounds then, and rows
 of two places meet in an equi-join of row numbers. Cells right of or below a table are blank.
 """
 
