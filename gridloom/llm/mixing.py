@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import documents, materialize, scratch
+from gridloom.llm.store import documents, materialize
 
 WEIGHTS, TOTAL, CAP = (5, 2, 1), 1.5, 2
 #: Leading hexadecimal digits of the key that make a range.
@@ -62,17 +62,17 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def _cuts(sized: DataFrame) -> DataFrame:
     """(of, source_size, target, whole, rest, cut, start): per source its epochs, the words left for the last, the range in which they end, and those before it."""
-    ranges = materialize(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
+    # read thrice below: its exchange is reused, and texts are counted once
+    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     # at most 16 ** RANGE_DIGITS rows of a source come together here, whatever its documents
     order = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
     upto = ranges.withColumn("upto", F.sum("range_size").over(order))
     budget = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))).withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = budget.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-    budget = materialize(budget, "budget")
     ends = upto.join(budget.select("of", "rest"), upto["source"].eqNullSafe(F.col("of"))).where("upto > rest").groupBy("of").agg(F.min(F.struct("range", (F.col("upto") - F.col("range_size")).alias("start"))).alias("cut"))
     ends = ends.select(F.col("of").alias("ended"), "cut.range", "cut.start")
-    return materialize(budget.join(ends, F.col("of").eqNullSafe(F.col("ended")), "left").select("of", "source_size", "target", "whole", "rest", F.col("range").alias("cut"), "start"), "cuts", keep=True)
+    return budget.join(ends, F.col("of").eqNullSafe(F.col("ended")), "left").select("of", "source_size", "target", "whole", "rest", F.col("range").alias("cut"), "start")
 
 
 def _mixed(docs: DataFrame) -> DataFrame:
@@ -81,10 +81,9 @@ def _mixed(docs: DataFrame) -> DataFrame:
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     keyed = docs.select(doc, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     size = word_count(F.col("doc.text"))
-    with scratch(docs.sparkSession):
-        cuts = _cuts(keyed.select("source", "range", size.alias("size")))
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
+    cuts = _cuts(keyed.select("source", "range", size.alias("size")))
+    # a part of the result's own plan: no file is written, for which the JVM would start processes
+    cuts = F.broadcast(cuts) if docs.select("source").distinct().count() <= BROADCAST_SOURCES else materialize(cuts, "cuts")
     out = keyed.join(cuts, F.col("source").eqNullSafe(F.col("of")))
     at_cut = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
     # words are counted after the choice of rows
